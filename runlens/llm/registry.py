@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from runlens.llm.mixing import op8_mixing
 from runlens.llm.ring import op7_ring
 
 
 def queries():
-    return {"op7_ring": op7_ring}
+    return {"op7_ring": op7_ring, "op8_mixing": op8_mixing}
 
 
 def oracle_sql():
