@@ -146,7 +146,7 @@ class Mix:
         within = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
         return (
             self.counted.withColumn("own", F.coalesce(F.sum("size").over(within), F.lit(0)))
-            .join(starts, F.col("source").eqNullSafe(F.col("s1")) & (F.col("bucket") == F.col("b1")))
+            .join(starts.hint("merge"), F.col("source").eqNullSafe(F.col("s1")) & (F.col("bucket") == F.col("b1")))
             .join(sources, F.col("source").eqNullSafe(F.col("s2")))
             .select("doc_id", "h", "size", "source_size", "target", "rank", (F.col("start") + F.col("own")).alias("a"), (F.col("start") + F.col("own") + F.col("size")).alias("z"))
         )
@@ -163,7 +163,7 @@ class Mix:
         overlap = F.least("z", (F.col("block") + 1) * words) - F.greatest("a", F.col("block") * words)
         taken = F.when(F.col("times").isNotNull(), F.struct("block", "times"))
         full = (
-            parts.join(times, ["rank", "block"], "left")
+            parts.join(times.hint("merge"), ["rank", "block"], "left")
             .groupBy("rank", "a", "z")
             .agg(F.first(F.struct("doc_id", "h", "size", "source_size", "target")).alias("doc"), F.coalesce(F.sum(overlap * F.col("times")), F.lit(0)).cast("long").alias("taken"), F.collect_list(taken).alias("takes"))
             .select("doc.*", "a", "taken", "takes")
