@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from runlens.llm.language import op3_language
 from runlens.llm.media import op9_media
 from runlens.llm.mixing import op8_mixing
 from runlens.llm.pieces import op1_pieces
@@ -10,7 +11,7 @@ from runlens.llm.ring import op7_ring
 
 
 def queries():
-    return {"op1_pieces": op1_pieces, "op6_quality": op6_quality, "op7_ring": op7_ring, "op8_mixing": op8_mixing, "op9_media": op9_media}
+    return {"op1_pieces": op1_pieces, "op3_language": op3_language, "op6_quality": op6_quality, "op7_ring": op7_ring, "op8_mixing": op8_mixing, "op9_media": op9_media}
 
 
 def oracle_sql():
