@@ -8,10 +8,11 @@ from runlens.llm.mixing import op8_mixing
 from runlens.llm.pieces import op1_pieces
 from runlens.llm.quality import op6_quality
 from runlens.llm.ring import op7_ring
+from runlens.llm.toxicity import op10_toxicity
 
 
 def queries():
-    return {"op1_pieces": op1_pieces, "op3_language": op3_language, "op6_quality": op6_quality, "op7_ring": op7_ring, "op8_mixing": op8_mixing, "op9_media": op9_media}
+    return {"op1_pieces": op1_pieces, "op3_language": op3_language, "op6_quality": op6_quality, "op7_ring": op7_ring, "op8_mixing": op8_mixing, "op9_media": op9_media, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql():
