@@ -9,11 +9,12 @@ from runlens.llm.pieces import op1_pieces
 from runlens.llm.quality import op6_quality
 from runlens.llm.ring import op7_ring
 from runlens.llm.simhash import op5_simhash
+from runlens.llm.suffixes import op2_suffixes
 from runlens.llm.toxicity import op10_toxicity
 
 
 def queries():
-    return {"op1_pieces": op1_pieces, "op3_language": op3_language, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op7_ring": op7_ring, "op8_mixing": op8_mixing, "op9_media": op9_media, "op10_toxicity": op10_toxicity}
+    return {"op1_pieces": op1_pieces, "op2_suffixes": op2_suffixes, "op3_language": op3_language, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op7_ring": op7_ring, "op8_mixing": op8_mixing, "op9_media": op9_media, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql():
