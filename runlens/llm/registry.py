@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from runlens.llm.language import op3_language
+from runlens.llm.lmscore import op4_lmscore
 from runlens.llm.media import op9_media
 from runlens.llm.mixing import op8_mixing
 from runlens.llm.pieces import op1_pieces
@@ -14,7 +15,7 @@ from runlens.llm.toxicity import op10_toxicity
 
 
 def queries():
-    return {"op1_pieces": op1_pieces, "op2_suffixes": op2_suffixes, "op3_language": op3_language, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op7_ring": op7_ring, "op8_mixing": op8_mixing, "op9_media": op9_media, "op10_toxicity": op10_toxicity}
+    return {"op1_pieces": op1_pieces, "op2_suffixes": op2_suffixes, "op3_language": op3_language, "op4_lmscore": op4_lmscore, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op7_ring": op7_ring, "op8_mixing": op8_mixing, "op9_media": op9_media, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql():
