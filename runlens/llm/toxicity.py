@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from runlens.llm.common import documents, map_arrow, slices, texts
 
-TOXIC_SAMPLE, CLEAN_SAMPLE, ANY_SAMPLE = 2500, 6000, 3000  # documents of the sample: labelled 1, labelled 0, any
+TOXIC_SAMPLE, CLEAN_SAMPLE, ANY_SAMPLE = 2000, 4000, 2000  # documents of the sample: labelled 1, labelled 0, any
 SAMPLE_BYTES = 1 << 16  # longer texts don't enter the sample
 LEXICON = 400  # word voters
 STEMS = 40  # stem voters
@@ -43,14 +43,22 @@ def _stems(words: set[bytes]) -> set[bytes]:
     return {w[:6] for w in words if len(w) > 6}
 
 
-def _suspicious(sets: list[set[bytes]], toxic: np.ndarray, most: int) -> list[bytes]:
+class _Numbers(dict):
+    """Numbers words in the order in which they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _suspicious(sets: list[np.ndarray], names: dict[bytes, int], toxic: np.ndarray, most: int) -> list[bytes]:
     """Words that are more frequent in toxic documents than chance allows, with a correction for the number of words tried."""
-    pos, neg = Counter(), Counter()
-    for s, y in zip(sets, toxic):
-        if y >= 0:
-            (pos if y else neg).update(s)
+    count = lambda y: np.bincount(np.concatenate([s for s, t in zip(sets, toxic) if t == y] or [np.zeros(0, np.int64)]), minlength=len(names))
+    in_toxic, in_clean = count(1), count(0)
+    pos = {w: int(in_toxic[i]) for w, i in names.items() if in_toxic[i] >= LEAST_DOCS}
+    neg = {w: int(in_clean[names[w]]) for w in pos}
     rate = (toxic == 1).sum() / max(1, (toxic >= 0).sum())
-    tried = [w for w, c in pos.items() if c >= LEAST_DOCS]
+    tried = list(pos)
 
     def evidence(w: bytes) -> float:
         """The Chernoff bound: n * KL(share of toxic documents, their rate)."""
@@ -67,14 +75,14 @@ class LabelModel:
     """Posterior probability of label 1 from votes: 1 for toxic, -1 for clean, 0 for none."""
 
     def fit(self, votes: np.ndarray, prior: float, rounds: int = 60) -> np.ndarray:
-        kinds = np.stack([votes == v for v in (-1, 0, 1)]).astype(float)  # kind, document, voter
-        lean = votes.sum(axis=1)
+        kinds = np.stack([votes == v for v in (-1, 0, 1)]).astype(np.float32)  # kind, document, voter
+        lean = votes.sum(axis=1, dtype=int)
         p = np.clip(np.where(lean > 0, 0.9, np.where(lean < 0, 0.02, prior)), 0.01, 0.99)
         self.share = np.ones(votes.shape[1])
         for _ in range(rounds):
-            rates = [(np.einsum("kdv,d->kv", kinds, w) + 0.05) / (w.sum() + 0.15) for w in (1 - p, p)]  # accuracies: rates by label
+            rates = [(np.stack([w @ x for x in kinds]) + 0.05) / (w.sum() + 0.15) for w in (1 - p, p)]  # accuracies: rates by label
             self.weights = np.log(rates[1]) - np.log(rates[0])
-            odds = np.einsum("kdv,kv->d", kinds, self.weights * self.share)
+            odds = sum(x @ y for x, y in zip(kinds, self.weights * self.share))
             prior = np.clip(p.mean(), 1e-3, 0.5)
             p = 1 / (1 + np.exp(-np.clip(odds + np.log(prior / (1 - prior)), -30, 30)))
             self.share = self._independent(votes, rates, p)
@@ -110,20 +118,26 @@ class ToxicityModel:
 
     def __init__(self, items: list[bytes], labels: list[int]):
         toxic = np.array(labels, dtype=int)
-        sets = [words_of(t) for t in items]
-        stems = [_stems(s) for s in sets]
         self.place, self.weights, self.bias = {}, np.zeros(0), -5.0
         if not (toxic == 1).any():
             return
-        lexicon, roots = _suspicious(sets, toxic, LEXICON), _suspicious(stems, toxic, STEMS)
-        of_word, of_stem = {w: i for i, w in enumerate(lexicon)}, {w: i for i, w in enumerate(roots)}
-        votes = np.zeros((len(items), len(lexicon) + len(roots) + 4))
+        of_word, of_stem, sets, stems = _Numbers(), _Numbers(), [], []  # numbers, not words: the sample has millions of them
+        for text in items:
+            own = words_of(text)
+            sets.append(np.array([of_word[w] for w in own], np.int32))
+            stems.append(np.array([of_stem[w] for w in _stems(own)], np.int32))
+        lexicon, roots = _suspicious(sets, of_word, toxic, LEXICON), _suspicious(stems, of_stem, toxic, STEMS)
         k = len(lexicon) + len(roots)
+        voter = np.full(len(of_word), -1, np.int32)
+        voter[[of_word[w] for w in lexicon]] = np.arange(len(lexicon))
+        stem_voter = np.full(len(of_stem), -1, np.int32)
+        stem_voter[[of_stem[w] for w in roots]] = np.arange(len(lexicon), k)
+        votes = np.zeros((len(items), k + 4), np.int8)
         for i, (text, s, r) in enumerate(zip(items, sets, stems)):
-            hits = [of_word[w] for w in s if w in of_word]
+            hits = voter[s][voter[s] >= 0]
             votes[i, hits] = 1
-            votes[i, [len(lexicon) + of_stem[w] for w in r if w in of_stem]] = 1
-            votes[i, k] = -1 if not hits else 1 if len(hits) > 1 else 0
+            votes[i, stem_voter[r][stem_voter[r] >= 0]] = 1
+            votes[i, k] = -1 if not len(hits) else 1 if len(hits) > 1 else 0
             votes[i, k + 1] = 1 if len(_SHOUT.findall(text)) > 2 else 0
             votes[i, k + 2] = 1 if _YOU.search(text) else 0
             votes[i, k + 3] = (-1, 1)[labels[i]] if labels[i] >= 0 else 0
