@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.llm.common import documents, map_arrow, texts
+from runlens.llm.common import documents, map_arrow, slices, texts
 
 WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
@@ -99,8 +99,8 @@ class Mix:
 
     def __init__(self, docs: DataFrame, weights: tuple = WEIGHTS, block_words: int = BLOCK_WORDS, seed: int = SEED):
         self.seed = seed
-        by_text = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-        hashed = docs.select("doc_id", "source", "text", F.xxhash64(F.lit(seed), "doc_id", "source", by_text).alias("h"))
+        self.docs, self.hash = docs, F.xxhash64(F.lit(seed), "doc_id", "source", "text")
+        hashed = docs.select("doc_id", "source", "text", self.hash.alias("h"))
         schema = f"doc_id {dict(docs.dtypes)['doc_id']}, source string, size long, h long"
         self.counted = map_arrow(hashed, _word_counts, schema).withColumn("bucket", F.pmod("h", F.lit(_BUCKETS)))
         self.by_bucket = self.counted.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
@@ -171,5 +171,57 @@ class Mix:
         return full.unionByName(empty)
 
 
+    def mixed(self) -> DataFrame:
+        """The mix itself, with all columns of docs: for each pass over a document a row with the words that it takes.
+
+        A whole pass keeps the text as it is; else runs of taken words are joined by blanks, and the runs by line breaks.
+        n_chars, where there is such a column, is the length of the new text. Column names that begin with `__` are reserved.
+        """
+        take = self.taken().where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("a").alias("__a"), F.col("size").alias("__size"), F.col("takes").alias("__takes"))
+        same = Window.partitionBy("__id", "__h").orderBy("__a")
+        rows = self.docs.withColumn("__key", self.hash)
+        rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "__key").orderBy("__key")))
+        take = take.withColumn("__m", F.row_number().over(same))
+        met = rows.join(take.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__h")) & (F.col("__n") == F.col("__m")))
+        names, block_words = self.docs.columns, self.block_words
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, "text", 4 << 20):
+                    at, new = [], []
+                    takes = zip(*(part.column(c).to_pylist() for c in ("__a", "__size", "__takes")))
+                    for i, (text, (a, size, own)) in enumerate(zip(texts(part.column("text")), takes)):
+                        for passed in passes(text, a, size, {x["block"]: x["times"] for x in own}, block_words):
+                            at.append(i)
+                            new.append(passed.decode())
+                    out = pa.Table.from_batches([part]).select(names).take(pa.array(at, pa.int64()))
+                    out = out.set_column(names.index("text"), "text", pa.array(new, pa.string()))
+                    if "n_chars" in names:
+                        field = out.schema.field("n_chars")
+                        out = out.set_column(names.index("n_chars"), field, pa.array(map(len, new), pa.int64()).cast(field.type))
+                    yield from out.to_batches()
+
+        return map_arrow(met.select(*names, "__a", "__size", "__takes"), run, self.docs.schema)
+
+
+def passes(text: bytes, a: int, size: int, times: dict[int, int], block_words: int) -> Iterator[bytes]:
+    """What each pass takes of a text whose words lie from a on in its source."""
+    words = None
+    blocks = range(a // block_words, (a + size - 1) // block_words + 1)
+    for k in range(1, max(times.values(), default=0) + 1):
+        inside = [times.get(b, 0) >= k for b in blocks]
+        if all(inside):
+            yield text
+            continue
+        words = text.split() if words is None else words
+        runs, open_ = [], False
+        for b, hit in zip(blocks, inside):
+            if hit:
+                piece = words[max(0, b * block_words - a) : (b + 1) * block_words - a]
+                runs = [*runs[:-1], runs[-1] + piece] if open_ else [*runs, piece]
+            open_ = hit
+        yield b"\n".join(b" ".join(r) for r in runs)
+
+
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
     return Mix(documents(spark, sf_dir)).taken().select("doc_id", "size", "source_size", "target", "taken")

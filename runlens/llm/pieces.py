@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
@@ -225,13 +226,13 @@ class PieceCodec:
                 if plain != start.replace(SPACE, " ") + w:
                     self.odd.add((w, known is self.bare))
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids joined by commas, SHA-256 of the decoded text.
+    def spell(self, text: str) -> tuple[str, str]:
+        """The ids joined by commas, and the text that they decode to.
 
         Lines and words of a text without doubled blanks are looked up among the words encoded so far, each with the check
         that it decodes to itself; the decoded text of such words is their text. All other texts are spelled out.
         """
-        joined = None
+        joined, plain = None, text
         if text and self.plain_breaks and "  " not in text and SPACE not in text and len(text) <= 1 << 20:
             joined = self._by_words(text)
         if joined is None:
@@ -239,10 +240,13 @@ class PieceCodec:
             first = int(joined.partition(_COMMA)[0]) if joined else self.unk
             if self.prefix and self.pieces[first].startswith(SPACE):
                 plain = plain[1:]
-        else:
-            plain = text
         if len(self.spaced) > KEPT_WORDS:
             self.spaced, self.bare, self.odd = {}, {}, set()
+        return joined, plain
+
+    def digest(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, SHA-256 of the ids joined by commas, SHA-256 of the decoded text."""
+        joined, plain = self.spell(text)
         return joined.count(_COMMA) + 1 if joined else 0, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(plain.encode()).hexdigest()
 
     def _by_words(self, text: str) -> str | None:
@@ -295,11 +299,11 @@ def default_model() -> bytes:
         return f.read()
 
 
-def encode_documents(docs: DataFrame, model: bytes | None = None) -> DataFrame:
-    """doc_id, ids (array of int) and decoded: the texts encoded and decoded.
+def encode_documents(docs: DataFrame, model: bytes | None = None, others: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, other columns as asked for, n_tokens, ids (array of int) and decoded: the texts encoded and decoded.
 
     A null or empty text has no ids and decodes to the empty text. Rows that repeat get a row each; a null doc_id stays
-    null. An empty table gives no rows. Other columns are not read.
+    null. An empty table gives no rows. No other columns are read.
     """
     model = model or default_model()
 
@@ -307,10 +311,16 @@ def encode_documents(docs: DataFrame, model: bytes | None = None) -> DataFrame:
         own = codec(model)
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                ids = [own.encode(x.decode()) for x in texts(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([own.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
-
-    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>, decoded string")
+                spelled = [own.spell(x.decode()) for x in texts(part.column("text"))]
+                sizes = [joined.count(_COMMA) + 1 if joined else 0 for joined, _ in spelled]
+                flat = np.array(_COMMA.join([joined for joined, _ in spelled if joined]).split(_COMMA) if any(sizes) else [], dtype=np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(flat, pa.int32()))
+                arrays = [*(part.column(c) for c in names), pa.array(sizes, pa.int64()), ids, pa.array([plain for _, plain in spelled], pa.string())]
+                yield pa.RecordBatch.from_arrays(arrays, [*names, "n_tokens", "ids", "decoded"])
+
+    names = ["doc_id", *others]
+    types = dict(docs.dtypes)
+    return map_arrow(docs.select(*names, "text"), run, ", ".join(f"`{c}` {types[c]}" for c in names) + ", n_tokens long, ids array<int>, decoded string")
 
 
 def digest_documents(docs: DataFrame, model: bytes | None = None) -> DataFrame:

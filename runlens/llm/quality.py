@@ -126,6 +126,34 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(a / 2, 0))
 
 
+_VERDICT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"]
+
+
+def _judge(items: list[bytes], refs: list[dict]) -> list[np.ndarray]:
+    """The columns of _VERDICT for a few texts."""
+    place = {w: i for i, w in enumerate(dict.fromkeys(w for r in refs for w in r["words"]))}
+    base, classes, common = [], [], np.zeros((len(items), len(place)))
+    for i, text in enumerate(items):
+        own, h = text.split(), class_counts(text)
+        classes.append(h[:-1])
+        base.append((len(own), int(h[:-1].sum() - h[4] - h[5]), int(h[6]), dup_lines(text), repeat_words(own)))
+        np.add.at(common[i], [place[w] for w in text.lower().split() if w in place], 1)
+    n = np.array(base, dtype=np.int64).reshape(-1, 5)
+    share = np.array(classes, dtype=float).reshape(-1, len(CLASSES))
+    share /= np.maximum(1, share.sum(axis=1, keepdims=True))
+    common /= np.maximum(1, n[:, :1])
+    char, word = np.full(len(n), np.inf), np.full(len(n), np.inf)
+    for r in refs:
+        p = common[:, [place[w] for w in r["words"]]]
+        char = np.minimum(char, distance(share, r["classes"]))
+        word = np.minimum(word, distance(np.column_stack([p, np.maximum(0, 1 - p.sum(axis=1))]), r["shares"]))
+    if not refs:
+        char[:], word[:] = 0, 0
+    failed = (n[:, 0] < 50) | (100 * n[:, 4] > 50 * n[:, 0])
+    far = ((n[:, 0] >= CHAR_WORDS) & (char > CHAR_LIMIT)) | ((n[:, 0] >= WORD_WORDS) & (word > WORD_LIMIT))
+    return [*(n[:, k] for k in range(5)), failed, ~failed & ~far, char, word]
+
+
 def verdicts(docs: DataFrame, refs: list[dict] | None = None) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance.
 
@@ -134,40 +162,26 @@ def verdicts(docs: DataFrame, refs: list[dict] | None = None) -> DataFrame:
     read; a document's own lang isn't used for its verdict.
     """
     refs = references(docs) if refs is None else refs
-    place = {w: i for i, w in enumerate(dict.fromkeys(w for r in refs for w in r["words"]))}
-    columns = [np.array([place[w] for w in r["words"]], dtype=np.int64) for r in refs]
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE):
-                yield from judged(part)
-
-    def judged(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        base, classes, common = [], [], np.zeros((part.num_rows, len(place)))
-        for i, text in enumerate(texts(part.column("text"))):
-            own, h = text.split(), class_counts(text)
-            classes.append(h[:-1])
-            base.append((len(own), int(h[:-1].sum() - h[4] - h[5]), int(h[6]), dup_lines(text), repeat_words(own)))
-            hits = [place[w] for w in text.lower().split() if w in place]
-            np.add.at(common[i], hits, 1)
-        n = np.array(base, dtype=np.int64).reshape(-1, 5)
-        share = np.array(classes, dtype=float).reshape(-1, len(CLASSES))
-        share /= np.maximum(1, share.sum(axis=1, keepdims=True))
-        common /= np.maximum(1, n[:, :1])
-        char, word = np.full(len(n), np.inf), np.full(len(n), np.inf)
-        for r, c in zip(refs, columns):
-            p = common[:, c]
-            char = np.minimum(char, distance(share, r["classes"]))
-            word = np.minimum(word, distance(np.column_stack([p, np.maximum(0, 1 - p.sum(axis=1))]), r["shares"]))
-        if not refs:
-            char[:], word[:] = 0, 0
-        failed = (n[:, 0] < 50) | (100 * n[:, 4] > 50 * n[:, 0])
-        far = ((n[:, 0] >= CHAR_WORDS) & (char > CHAR_LIMIT)) | ((n[:, 0] >= WORD_WORDS) & (word > WORD_LIMIT))
-        arrays = [part.column("doc_id"), *(pa.array(n[:, k]) for k in range(5)), pa.array(failed), pa.array(~failed & ~far), pa.array(char), pa.array(word)]
-        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, _judge(texts(part.column("text")), refs))], ["doc_id", *_VERDICT])
 
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
-    return map_arrow(docs.select("doc_id", "text"), judge, schema)
+    return map_arrow(docs.select("doc_id", "text"), run, schema)
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all columns, that the rules keep; cases as in `verdicts`."""
+    refs = references(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                yield part.filter(pa.array(_judge(texts(part.column("text")), refs)[6]))
+
+    return map_arrow(docs, run, docs.schema)
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:

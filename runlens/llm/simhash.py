@@ -48,15 +48,15 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long)."""
+    """doc_id, fp (the 64 bits as a signed long) and h, a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
                 found = np.array([fingerprint(t) for t in texts(part.column("text"))], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found.view(np.int64)), part.column("h")], ["doc_id", "fp", "h"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    return map_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("h")), run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long, h long")
 
 
 def _distance(values: np.ndarray, vantage: int, mask: int) -> np.ndarray:
@@ -180,26 +180,42 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         turn += 1
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row.
-
-    A text without words, null included, has fingerprint 0 and is linked like any other. Rows that repeat get a row each; a
-    null doc_id gets the component of its text and never names one, unless a component has no other. An empty table gives
-    no rows. Other columns are not read.
-    """
+def _joined(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, h and the first of its component (id_null, doc_id, h) for every row."""
     spark = docs.sparkSession
     folder = f"{shared_dir(spark).rstrip('/')}/simhash-{uuid.uuid4().hex}"
     fingerprints(docs).write.parquet(f"{folder}/fingerprints")  # small; each text is read once
     found = spark.read.parquet(f"{folder}/fingerprints")
-    found.groupBy("fp").agg(F.min("doc_id").alias("first")).write.parquet(f"{folder}/nodes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("id_null"), "doc_id", "h"))
+    found.groupBy("fp").agg(first.alias("first")).write.parquet(f"{folder}/nodes")
     nodes = spark.read.parquet(f"{folder}/nodes")
     edges = links(nodes.select("fp"), 0).union(links(nodes.select("fp"), 1))
     roots = components(edges, folder)
     rooted = nodes.join(roots.hint("merge"), nodes["fp"] == roots["u"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_fp = rooted.select("fp", "root").join(ids.hint("merge"), "root").select("fp", "component_id")
-    out = found.join(of_fp.hint("merge"), "fp")
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    firsts = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    of_fp = rooted.select("fp", "root").join(firsts.hint("merge"), "root").select("fp", "first")
+    return found.join(of_fp.hint("merge"), "fp")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row.
+
+    A text without words, null included, has fingerprint 0 and is linked like any other. Rows that repeat get a row each; a
+    null doc_id gets the component of its text and never names one, unless a component has no other. An empty table gives
+    no rows. Other columns are not read.
+    """
+    return _joined(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The row of docs with the least doc_id of each component, with all columns; of rows that repeat it, one.
+
+    Cases as in near_duplicates. Column names that begin with `__` are reserved.
+    """
+    firsts = _joined(docs).select("first.*").distinct().select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
+    keyed = docs.withColumn("__key", F.xxhash64("text"))
+    met = keyed.join(firsts.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__h")), "left_semi")
+    return met.dropDuplicates(["doc_id", "__key"]).drop("__key")
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
