@@ -99,7 +99,9 @@ def _anchored(own: list[int], offsets: list[int], items: list[bytes]) -> Iterato
     last = np.r_[first[1:], len(start)] - 1
     at, d = anchor[first], doc[first]
     shift = np.array(offsets)[d] - (ends - sizes)[d]
-    yield np.array(own)[d], at + shift, h[at] >> np.uint64(16), at - start[first], at - start[last]
+    name = h[at] * np.uint64(0xD6E8FEB86659FD93)  # anchors have small hashes, their names are even
+    name = (name ^ (name >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(16)
+    yield np.array(own)[d], at + shift, name, at - start[first], at - start[last]
 
 
 def _in_order(table: pa.Table) -> tuple[pa.Table, list, list[bytes]]:
