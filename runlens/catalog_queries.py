@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runlens import queries_requirements, queries_signals
+from runlens import queries_policy, queries_requirements, queries_signals
 
-_MODULES = (queries_signals, queries_requirements)
+_MODULES = (queries_signals, queries_requirements, queries_policy)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
