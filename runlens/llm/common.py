@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from runlens.session import ship
 
@@ -37,3 +38,25 @@ def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Record
         total += n
     if start < len(sizes):
         yield batch.slice(start)
+
+
+def even_keys(spark: SparkSession, n: int) -> list[int]:
+    """n numbers that Spark hashes to n different partitions of n, so that each task gets one group.
+
+    Beyond 65,536 groups the plain numbers will do: a task then meets a few groups, as chance has it.
+    """
+    if n > 1 << 16:
+        return list(range(n))
+    tried = n * 16
+    while True:
+        rows = spark.range(tried).select(F.pmod(F.hash("id"), F.lit(n)).alias("p"), "id").groupBy("p").agg(F.min("id").alias("id")).collect()
+        if len(rows) == n:
+            return [r["id"] for r in sorted(rows, key=lambda r: r["p"])]
+        tried *= 4
+
+
+def keyed(keys: list[int], number: Column) -> Column:
+    """The key of a number from 0 to n - 1."""
+    if len(keys) > 1 << 16:
+        return number.cast("long")
+    return F.element_at(F.from_json(F.lit(str(keys)), "array<bigint>"), (number + 1).cast("int"))  # folded to a constant array
