@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import documents
+from runlens.llm.common import documents, even_keys, keyed
 from runlens.session import ship
 
 LENGTH = 50
@@ -144,7 +144,7 @@ def _rows(rows: list[tuple], names: tuple, types: tuple) -> pa.Table:
     return pa.table({n: pa.array(c, t) for n, c, t in zip(names, columns, types)})
 
 
-def _send_hashes(run: int, table: pa.Table, buckets: int) -> pa.Table:
+def _send_hashes(run: int, table: pa.Table, keys: list[int]) -> pa.Table:
     """The run's distinct anchor hashes by bucket, each with a mark if two documents of the run have it."""
     _, ids, texts = _in_order(table)
     doc, _, h, _, _ = _pieces(texts)
@@ -154,14 +154,14 @@ def _send_hashes(run: int, table: pa.Table, buckets: int) -> pa.Table:
     lasts = np.r_[new[1:], len(h)] - 1 if len(h) else new
     shared = np.array([ids[a] != ids[b] for a, b in zip(doc[new], doc[lasts])], bool)
     h = h[new]
-    cut = _cuts(h, buckets)
+    cut = _cuts(h, len(keys))
     rows = []
-    for b in range(buckets):
+    for b in range(len(keys)):
         lo, hi = cut[b], cut[b + 1]
         if hi > lo:
             steps = np.diff(h[lo:hi], prepend=np.uint64(0))
             narrow = steps[1:].max(initial=0) < 1 << 32
-            rows.append((b, run, _pack(np.array([steps[0], narrow], np.uint64), steps[1:].astype(np.uint32 if narrow else np.uint64), np.packbits(shared[lo:hi]))))
+            rows.append((keys[b], run, _pack(np.array([steps[0], narrow], np.uint64), steps[1:].astype(np.uint32 if narrow else np.uint64), np.packbits(shared[lo:hi]))))
     return _rows(rows, ("bucket", "run", "blob"), (pa.int64(), pa.int64(), pa.binary()))
 
 
@@ -199,7 +199,7 @@ def _prefix_lengths(items: list[bytes]) -> np.ndarray:
     return out
 
 
-def _send_suffixes(run: int, table: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
+def _send_suffixes(run: int, table: pa.Table, answers: pa.Table, keys: list[int]) -> pa.Table:
     """Sorted, front-coded suffixes at shared anchors by bucket, and the spans that the run alone finds."""
     if not answers.num_rows or not table.num_rows:
         return _rows([], ("bucket", "run", "blob"), (pa.int64(), pa.int64(), pa.binary()))
@@ -211,8 +211,8 @@ def _send_suffixes(run: int, table: pa.Table, answers: pa.Table, buckets: int) -
     order = np.argsort(h, kind="stable")
     doc, at, h, before, least = (x[order] for x in (doc, at, h, before, least))
     id_of = np.array([_LAST if i is None else i for i in ids], np.int64)
-    cut, rows = _cuts(h, buckets), []
-    for b in range(buckets):
+    cut, rows = _cuts(h, len(keys)), []
+    for b in range(len(keys)):
         lo, hi = cut[b], cut[b + 1]
         if hi == lo:
             continue
@@ -235,7 +235,7 @@ def _send_suffixes(run: int, table: pa.Table, answers: pa.Table, buckets: int) -
             shared, np.array([len(x) for x in right], np.uint8), np.frombuffer(tails, np.uint8), np.frombuffer(b"".join(x[1] for x in kept), np.uint8),
             numbers[:, 0].copy(), numbers[:, 1].astype(np.uint32), numbers[:, 2].astype(np.uint32), numbers[:, 3].astype(np.uint8), numbers[:, 4].astype(np.uint8), spans.ravel(),
         )
-        rows.append((b, run, blob))
+        rows.append((keys[b], run, blob))
     return _rows(rows, ("bucket", "run", "blob"), (pa.int64(), pa.int64(), pa.binary()))
 
 
@@ -423,13 +423,14 @@ def dedup(docs: DataFrame, replace_text: bool = False) -> DataFrame:
     runs = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RUN_BYTES))
     columns = docs.columns if replace_text else ["doc_id", "text"]
     key = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
-    placed = docs.select(F.pmod(key, F.lit(runs)).alias("__run"), *columns).repartition(runs, "__run")
+    keys = even_keys(spark, runs)  # of runs and of buckets
+    placed = docs.select(keyed(keys, F.pmod(key, F.lit(runs))).alias("__run"), *columns).repartition(runs, "__run")
     by_run = placed.groupBy("__run")
     blobs, answer = "bucket long, run long, blob binary", "run long, blob binary"
-    sent = by_run.applyInArrow(lambda k, t: _send_hashes(k[0].as_py(), t, runs), blobs)
-    several = sent.groupBy("bucket").applyInArrow(_answer, answer)
-    suffixes = by_run.cogroup(several.groupBy("run")).applyInArrow(lambda k, t, a: _send_suffixes(k[0].as_py(), t, a, runs), blobs)
-    spans = suffixes.groupBy("bucket").applyInArrow(_merge_bucket, answer)
+    sent = by_run.applyInArrow(lambda k, t: _send_hashes(k[0].as_py(), t, keys), blobs)
+    several = sent.repartition(runs, "bucket").groupBy("bucket").applyInArrow(_answer, answer)
+    suffixes = by_run.cogroup(several.groupBy("run")).applyInArrow(lambda k, t, a: _send_suffixes(k[0].as_py(), t, a, keys), blobs)
+    spans = suffixes.repartition(runs, "bucket").groupBy("bucket").applyInArrow(_merge_bucket, answer)
 
     def digest(table: pa.Table, answers: pa.Table) -> pa.Table:
         table, texts, removed, kept, numbers = _cut_out(table, answers)
