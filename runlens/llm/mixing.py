@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.llm.common import documents, map_arrow, slices, texts
+from runlens.llm.common import documents, map_arrow, release, slices, texts
 
 WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
@@ -200,6 +200,7 @@ class Mix:
                         field = out.schema.field("n_chars")
                         out = out.set_column(names.index("n_chars"), field, pa.array(map(len, new), pa.int64()).cast(field.type))
                     yield from out.to_batches()
+                release()
 
         return map_arrow(met.select(*names, "__a", "__size", "__takes"), run, self.docs.schema)
 

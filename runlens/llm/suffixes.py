@@ -25,12 +25,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import documents, even_keys, keyed
+from runlens.llm.common import documents, even_keys, keyed, release
 from runlens.session import ship
 
 LENGTH = 50
 K = 24
-RUN_BYTES = 12 << 20
+RUN_BYTES = 8 << 20
 CHUNK = 1 << 18  # text bytes hashed at a time
 _PLACE = np.uint64((1 << 24) - 1)
 _LAST = np.int64(2**63 - 1)  # a null doc_id is the last
@@ -236,6 +236,7 @@ def _send_suffixes(run: int, table: pa.Table, answers: pa.Table, keys: list[int]
             numbers[:, 0].copy(), numbers[:, 1].astype(np.uint32), numbers[:, 2].astype(np.uint32), numbers[:, 3].astype(np.uint8), numbers[:, 4].astype(np.uint8), spans.ravel(),
         )
         rows.append((keys[b], run, blob))
+    release()
     return _rows(rows, ("bucket", "run", "blob"), (pa.int64(), pa.int64(), pa.binary()))
 
 
@@ -359,6 +360,7 @@ def _merge_bucket(table: pa.Table) -> pa.Table:
         own = np.concatenate([found[whose == k], parts[k][9].reshape(-1, 3)])
         if len(own):
             rows.append((run, _pack(own.ravel())))
+    release()
     return _rows(rows, ("run", "blob"), (pa.int64(), pa.binary()))
 
 
@@ -407,6 +409,7 @@ def _cut_out(table: pa.Table, answers: pa.Table) -> tuple[pa.Table, list[bytes],
         kept.append(b"".join([*parts, text[at:]]))
         removed.append(len(text) - len(kept[-1]))
         numbers.append(len(gone))
+    release()
     return table, texts, removed, kept, numbers
 
 
