@@ -95,7 +95,7 @@ class PieceCodec:
         groups: dict[str, list[str]] = {}
         for c in list(root):
             groups.setdefault(find(c), []).append(c)
-        classes = sorted((g for g in groups.values() if len(g) > 1), key=len, reverse=True)
+        classes = sorted(groups.values(), key=len, reverse=True)  # one character: it joins itself
         runs = "|".join("[" + "".join(map(re.escape, sorted(g))) + "]+" for g in classes)
         self.pattern = re.compile(f"{SPACE}*(?:{runs}|[^{SPACE}])|{SPACE}+" if runs else f"{SPACE}*[^{SPACE}]|{SPACE}+", re.DOTALL)
 

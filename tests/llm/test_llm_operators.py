@@ -80,6 +80,18 @@ def test_pieces_of_odd_texts():
         assert joined == ",".join(map(str, ids)) and plain == sp.decode(ids), repr(x)
 
 
+def test_pieces_of_doubled_pieces():
+    """Every piece of several characters, doubled and in a row with the next one; a box-drawing line joins one character only."""
+    import public_tokenizers
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    codec = pieces.PieceCodec(pieces.default_model())
+    several = [p.replace("▁", " ") for p in codec.ids if len(p) > 1]
+    for x in ["a ──── b", "══ ═══\n│ ─── │", *(p + p for p in several), *map("".join, zip(several, several[1:]))]:
+        assert codec.encode(x) == sp.encode(x) and codec.spell(x)[0] == ",".join(map(str, sp.encode(x))), repr(x)
+
+
 # ---- 2
 def removed(rows):
     first = {}
