@@ -174,14 +174,150 @@ def test_lm_base_and_probability(docs, rows):
     assert all(r.score < 0 for r in found)
 
 
-def test_lm_is_a_distribution():
-    """The codes of all words and of all bytes are complete: the probabilities of their leaves sum to one."""
-    coder = lmscore.Coder([(b"the", 9), (b"of", 5), (b"a", 1)])
-    assert abs(sum(2.0 ** -coder.length[: coder.own]) - 1) < 1e-12 and abs(sum(2.0 ** -coder.length[coder.own :]) - 1) < 1e-12
-    stretched = lmscore.tables(np.zeros(lmscore.ORDERS * 2 << lmscore.TABLE_BITS))
-    scorer = lmscore.Scorer(coder, stretched)
-    one = [scorer.score([[w, b"\n"]])[0] for w in (b"the", b"zebra")]
-    assert one[0] > one[1]
+def lm_tokens(t):
+    return re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + ["\n"]
+
+
+def lm_loop(items, learnt, model):
+    """log2 of the probability of each text, token by token and bit by bit."""
+    corpus, lists = Counter(), [lm_tokens(t) for t in items]
+    grams = lambda own: [tuple(x) for i in range(len(own)) for x in ([own[i]], [*(["\n"] * (i == 0)), *own[max(0, i - 1) : i + 1]], [None] * (i == 0) + ["\n"] * (i < 2) + own[max(0, i - 2) : i + 1])]
+    for own, mine in zip(lists, learnt):
+        corpus.update(grams(own) if mine else ())
+    n = sum(len(x) for x, mine in zip(lists, learnt) if mine)
+    out = []
+    for own, mine in zip(lists, learnt):
+        c = Counter(corpus)
+        c.subtract(grams(own) if mine else ())
+        rest, docs = n - (len(own) if mine else 0), sum(learnt) - mine
+        w, cells, total, bits = model.weights.astype(np.float32).copy(), model.cells.astype(np.float32).copy(), 0.0, 0
+        asked, said, last = 0, 0, 0.0
+        news, knowns, last_known, lefts, repeats, last_repeat = 0, 0, 0.0, 0, 0, 0.0
+        here, mass = Counter(), 0
+        stretch = lambda p: np.log(p / (1 - p))
+
+        def code(gate, x, y):
+            nonlocal total, bits, w, cells
+            if bits and bits % lmscore.LANE_BITS == 0:
+                w, cells = model.weights.astype(np.float32).copy(), model.cells.astype(np.float32).copy()
+            x = np.array([*x, 1], np.float32)
+            z = float(np.clip(np.float32(w[gate] @ x), -7.9, 7.9))
+            p, cell = 1 / (1 + np.exp(-z)), int((z + 8) * lmscore.CELLS / 16)
+            mixed = 0.7 * p + 0.3 * cells[gate, cell]
+            w[gate] += lmscore.RATE * (y - p) * x
+            cells[gate, cell] += lmscore.REFINE * (y - cells[gate, cell])
+            total += np.log2(mixed if y else 1 - mixed)
+            bits += 1
+
+        for i, t in enumerate(own):
+            one = ("\n", t) if i == 0 else (own[i - 1], t)
+            two = (None, "\n", t) if i == 0 else ("\n", *own[:2]) if i == 1 else tuple(own[i - 2 : i + 1])
+            met_two = 0 if i == 0 else c[("\n", own[0])] if i == 1 else c[(own[i - 2], own[i - 1])]
+            met_one = docs if i == 0 else c[(own[i - 1],)]
+            age = min(7, int(np.log2(i + 1)))
+            known_words, seen = c[(t,)], False
+            followed, well = stretch((said + 0.3) / (asked + 1.0)), np.log2(max(1, met_one)) / 4 - 1
+            was, asks, yes = last, 0, 0
+            if 0 < met_two <= 16:
+                asks, yes = 1, int(c[two] > 0)
+                code(int(np.log2(met_two)), (followed, was, well), yes)
+                if yes:
+                    seen, share = True, min(1, c[two] / met_two)
+            if not seen and 0 < met_one <= 16:
+                again = asks
+                asks, yes = 1, int(c[one] > 0)
+                code(5 + int(np.log2(met_one)), (followed, was, -1.0 if again else 0.0), yes)
+                if yes:
+                    seen, share = True, min(1, c[one] / met_one)
+            new = known = left = rep = False
+            if not seen:
+                left, rep = True, here[t] > 0
+                code(10 + age, (stretch(np.clip(mass / max(1, rest), 1e-5, 1 - 1e-5)), stretch((repeats + 1) / (lefts + 2)), last_repeat), int(rep))
+                if rep:
+                    s = model.share[age]
+                    share = min(1, s * here[t] / max(1, i) + (1 - s) * (min(1, max(0, known_words) / max(1, mass)) if mass else 0))
+                else:
+                    new, known = True, known_words > 0
+                    code(18 + age, (stretch((knowns + 2) / (news + 2.5)), last_known, well), int(known))
+                    share = min(1, known_words / max(1, max(1, rest) - mass)) if known else 1
+            total += np.log2(share)
+            if asks:
+                asked, said, last = asked + 1, said + int(seen), 1.0 if seen else -1.0
+            if left:
+                lefts, repeats, last_repeat = lefts + 1, repeats + rep, 1.0 if rep else -1.0
+            if new:
+                news, knowns, last_known = news + 1, knowns + known, 1.0 if known else -1.0
+            if not here[t]:
+                mass += max(0, known_words)
+            here[t] += 1
+        out.append(total)
+    return np.array(out)
+
+
+def lm_corpus(seed=3):
+    rng = random.Random(seed)
+    word = lambda: f"w{int(rng.paretovariate(0.6)) % 900}"
+    items = [" ".join(word() for _ in range(rng.randrange(0, 120))) for _ in range(60)]
+    return items + items[:9] + ["", None, "Same same SAME", " ".join(word() for _ in range(3000)), items[4][: len(items[4]) // 2] + " zz " + items[5]]
+
+
+def lm_whole(items, learnt):
+    """A run that knows the counts of all."""
+    learnt = np.array(learnt)
+    run = lmscore.Run([(t or "").encode() for t in items], 48)
+    counts = np.bincount(run.ids, learnt[run.doc], len(run.words)).astype(np.uint64)
+    keys, at = np.unique(run.keys, return_inverse=True)
+    key_counts = np.bincount(at, np.tile(learnt[run.doc], 2), len(keys)).astype(np.uint64)
+    return run, lmscore.Bits(run, counts, key_counts, learnt, int(counts.sum())), learnt
+
+
+def test_lm_against_a_loop(monkeypatch):
+    items = lm_corpus()
+    run, bits, learnt = lm_whole(items, [k % 7 != 2 for k in range(len(items))])
+    fitted = lmscore.Model().fit(bits, learnt).fit_share(bits, learnt, run)
+    for model, lane in ((lmscore.Model(), 8192), (fitted, 8192), (fitted, 500)):
+        monkeypatch.setattr(lmscore, "LANE_BITS", lane)
+        assert np.allclose(lmscore.token_bits(run, bits, model), lm_loop(items, learnt.tolist(), model), rtol=2e-3)
+
+
+def test_lm_in_runs_is_as_in_one(spark):
+    """Documents scored by Spark, in several runs, against one run with the counts of all and the same weights."""
+    items = lm_corpus(8)
+    rows = spark.createDataFrame(list(enumerate(items)), "doc_id long, text string")
+    learnt = [zlib.crc32(str(k).encode()) % 7 != 2 for k in range(len(items))]
+    run, bits, mine = lm_whole(items, learnt)
+    got = {r.doc_id: r for r in lmscore.score_documents(rows).collect()}
+    near = lmscore.token_bits(run, bits, lmscore.Model().fit(bits, mine).fit_share(bits, mine, run)) * np.log10(2)
+    assert all(abs(got[k].score - near[k]) <= 0.1 * abs(near[k]) + 2 for k in got)  # the weights are fitted to a part there
+    assert sum(r.score for r in got.values()) > sum(r.base_score for r in got.values())
+    twice = [got[k].score / got[k].n_tokens for k in range(9) if learnt[k] and got[k].n_tokens > 20]
+    once = [got[k].score / got[k].n_tokens for k in range(9, 60) if got[k].n_tokens > 20]
+    assert min(twice) > max(once)
+
+
+def test_lm_probabilities_sum_to_one_at_most():
+    """Over all symbols that can follow: the words of the corpus, each as the last word of the same text, and an unknown one."""
+    items = ["a b c a b d", "a b c e", "b c a f", "c a b c"]
+    symbols = sorted({w for t in items for w in t.split()}) + ["unknown"]
+    total = 0.0
+    for s in [*symbols, ""]:
+        run, bits, learnt = lm_whole([*items, f"a b {s}"], [True] * len(items) + [False])
+        model = lmscore.Model()
+        given = lmscore.mix(bits.y, bits.x, bits.gate, *lmscore._lanes(bits.doc), model)
+        at = run.start[-1] + 2
+        log = np.log2(given[bits.token == at]).sum() + bits.log_share[at]
+        if bits.repeat[at]:
+            share = model.share[bits.age[at]]
+            log += np.log2(share * bits.here_share[at] + (1 - share) * bits.mass_share[at])
+        total += 2.0**log
+    assert 0.3 < total <= 1 + 1e-6
+
+
+def test_lm_spelling():
+    letters = np.zeros(257 * 257)
+    letters[lmscore._pairs_of_bytes([b"ab", b"ab", b"b"])[0]] += 1
+    cost = lmscore.spelling([b"ab", b"zz"], letters)
+    assert cost[0] < cost[1] and len(lmscore.spelling([], letters)) == 0
 
 
 # ---- 5
