@@ -1,6 +1,7 @@
 """Mixing sources to target weights.
 
-The words of a source, its documents in a pseudorandom order, are packed into blocks of fixed length. A tree splits the
+The words of a source, its documents in a pseudorandom order, are packed into blocks of fixed length; a source too small for
+LEAST_BLOCKS blocks has shorter ones, so that whole blocks come near its target. A tree splits the
 exact block counts of all sources over the output shards with seeded multivariate hypergeometric draws, which is a
 multinomial draw for each shard under the condition that the totals come out. A shard walks down the tree by itself, so
 shards are drawn in parallel and know the first slot of each source without a scan over the others. A slot becomes a
@@ -22,6 +23,8 @@ from runlens.llm.common import documents, map_arrow, release, slices, texts
 WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
 BLOCK_WORDS = 128
+LEAST_BLOCKS = 64  # of a source, where it has as many words
+DRAWN = 1_000_000_000  # blocks: a sum from here on is beyond the number range of a draw and is split in proportion
 SHARD_BLOCKS = 4096
 SEED = 20240613
 _BUCKETS = 1024  # of a source, for prefix sums in two steps
@@ -58,7 +61,8 @@ def shard_counts(blocks: np.ndarray, sizes: np.ndarray, shard: int, seed: int) -
     while hi - lo > 1:
         mid = (lo + hi) // 2
         rng = np.random.default_rng([seed, lo, hi])
-        left = rng.multivariate_hypergeometric(have, int(sizes[lo:mid].sum()), method="marginals")
+        part, whole = int(sizes[lo:mid].sum()), int(have.sum())
+        left = rng.multivariate_hypergeometric(have, part, method="marginals") if whole < DRAWN else in_proportion(have, part, whole)
         if shard < mid:
             hi, have = mid, left
         else:
@@ -66,6 +70,15 @@ def shard_counts(blocks: np.ndarray, sizes: np.ndarray, shard: int, seed: int) -
     return have, first
 
 
+def in_proportion(have: np.ndarray, part: int, whole: int) -> np.ndarray:
+    """What each source has, times part / whole, in whole numbers that sum to part: a draw this large hardly strays from it."""
+    shares = [int(h) * part for h in have]
+    out = np.array([x // whole for x in shares], dtype=np.int64)
+    by_rest = sorted(range(len(have)), key=lambda i: (-(shares[i] % whole), i))
+    out[by_rest[: part - int(out.sum())]] += 1
+    return out
+
+
 def source_targets(per_source: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_PASSES) -> DataFrame:
     """Adds rank, weight and target to (source, source_size): all words by weight, no source above `most` times its size."""
     everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -94,7 +107,8 @@ class Mix:
 
     A null text has no words; documents without words are taken 0 words. A null source is a source of its own, the last.
     Rows that repeat are documents of their own. An empty table gives no rows. Other columns are not read. One row for
-    each source reaches the driver. Beyond 5e8 blocks the blocks grow, so that the draws stay within their number range.
+    each source reaches the driver. Rows that tie in the pseudorandom order (equal ids and texts) are alike but for that.
+    A very long text is cut over many blocks and taken by them. Bytes that are no UTF-8 become replacement characters.
     """
 
     def __init__(self, docs: DataFrame, weights: tuple = WEIGHTS, block_words: int = BLOCK_WORDS, seed: int = SEED):
@@ -106,9 +120,8 @@ class Mix:
         self.by_bucket = self.counted.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
         self.sources = source_targets(self.by_bucket.groupBy("source").agg(F.sum("words").alias("source_size")), weights)
         self.known = self.sources.orderBy("rank").collect()
-        total = sum(r["source_size"] for r in self.known)
-        self.block_words = block_words * max(1, -(-total // (block_words * 500_000_000)))
-        blocks = [-(-r["source_size"] // self.block_words) for r in self.known]
+        self.words = F.least(F.lit(block_words), F.greatest(F.lit(1), F.expr(f"source_size div {LEAST_BLOCKS}"))).cast("long")  # of a block
+        blocks = [-(-r["source_size"] // max(1, min(block_words, r["source_size"] // LEAST_BLOCKS))) for r in self.known]
         self.n_blocks = np.array(blocks or [0], dtype=np.int64)
         wanted = [min(MOST_PASSES * b, round(r["target"] * b / r["source_size"])) if b else 0 for r, b in zip(self.known, blocks)]
         self.slots = np.array(wanted or [0], dtype=np.int64)
@@ -148,25 +161,24 @@ class Mix:
             self.counted.withColumn("own", F.coalesce(F.sum("size").over(within), F.lit(0)))
             .join(starts.hint("merge"), F.col("source").eqNullSafe(F.col("s1")) & (F.col("bucket") == F.col("b1")))
             .join(sources, F.col("source").eqNullSafe(F.col("s2")))
-            .select("doc_id", "h", "size", "source_size", "target", "rank", (F.col("start") + F.col("own")).alias("a"), (F.col("start") + F.col("own") + F.col("size")).alias("z"))
+            .select("doc_id", "h", "size", "source_size", "target", "rank", self.words.alias("words"), (F.col("start") + F.col("own")).alias("a"), (F.col("start") + F.col("own") + F.col("size")).alias("z"))
         )
 
     def taken(self) -> DataFrame:
-        """doc_id, size, source_size, target, taken, and takes: the blocks of the document with the times they are taken."""
-        words = F.lit(self.block_words).cast("long")
+        """doc_id, size, source_size, target, taken, words (of a block), and takes: the document's blocks with the times they are taken."""
         placed = self.placed()
         none = F.array().cast("array<struct<block:bigint,times:bigint>>")
-        empty = placed.where("size = 0").select("doc_id", "h", "size", "source_size", "target", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("taken"), none.alias("takes"))
-        span = F.sequence(F.expr(f"a div {self.block_words}"), F.expr(f"(z - 1) div {self.block_words}"))
+        empty = placed.where("size = 0").select("doc_id", "h", "size", "source_size", "target", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("taken"), "words", none.alias("takes"))
+        span = F.sequence(F.expr("a div words"), F.expr("(z - 1) div words"))
         parts = placed.where("size > 0").withColumn("block", F.explode(span))
         times = self.blocks().groupBy("rank", "block").agg(F.sum("times").alias("times"))
-        overlap = F.least("z", (F.col("block") + 1) * words) - F.greatest("a", F.col("block") * words)
+        overlap = F.least("z", (F.col("block") + 1) * F.col("words")) - F.greatest("a", F.col("block") * F.col("words"))
         taken = F.when(F.col("times").isNotNull(), F.struct("block", "times"))
         full = (
             parts.join(times.hint("merge"), ["rank", "block"], "left")
             .groupBy("rank", "a", "z")
-            .agg(F.first(F.struct("doc_id", "h", "size", "source_size", "target")).alias("doc"), F.coalesce(F.sum(overlap * F.col("times")), F.lit(0)).cast("long").alias("taken"), F.collect_list(taken).alias("takes"))
-            .select("doc.*", "a", "taken", "takes")
+            .agg(F.first(F.struct("doc_id", "h", "size", "source_size", "target", "words")).alias("doc"), F.coalesce(F.sum(overlap * F.col("times")), F.lit(0)).cast("long").alias("taken"), F.collect_list(taken).alias("takes"))
+            .select("doc.doc_id", "doc.h", "doc.size", "doc.source_size", "doc.target", "a", "taken", "doc.words", "takes")
         )
         return full.unionByName(empty)
 
@@ -177,23 +189,23 @@ class Mix:
         A whole pass keeps the text as it is; else runs of taken words are joined by blanks, and the runs by line breaks.
         n_chars, where there is such a column, is the length of the new text. Column names that begin with `__` are reserved.
         """
-        take = self.taken().where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("a").alias("__a"), F.col("size").alias("__size"), F.col("takes").alias("__takes"))
+        take = self.taken().where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("a").alias("__a"), F.col("size").alias("__size"), F.col("words").alias("__words"), F.col("takes").alias("__takes"))
         same = Window.partitionBy("__id", "__h").orderBy("__a")
         rows = self.docs.withColumn("__key", self.hash)
         rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "__key").orderBy("__key")))
         take = take.withColumn("__m", F.row_number().over(same))
         met = rows.join(take.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__h")) & (F.col("__n") == F.col("__m")))
-        names, block_words = self.docs.columns, self.block_words
+        names = self.docs.columns
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "text", 4 << 20):
                     at, new = [], []
-                    takes = zip(*(part.column(c).to_pylist() for c in ("__a", "__size", "__takes")))
-                    for i, (text, (a, size, own)) in enumerate(zip(texts(part.column("text")), takes)):
+                    takes = zip(*(part.column(c).to_pylist() for c in ("__a", "__size", "__words", "__takes")))
+                    for i, (text, (a, size, block_words, own)) in enumerate(zip(texts(part.column("text")), takes)):
                         for passed in passes(text, a, size, {x["block"]: x["times"] for x in own}, block_words):
                             at.append(i)
-                            new.append(passed.decode())
+                            new.append(passed.decode(errors="replace"))
                     out = pa.Table.from_batches([part]).select(names).take(pa.array(at, pa.int64()))
                     out = out.set_column(names.index("text"), "text", pa.array(new, pa.string()))
                     if "n_chars" in names:
@@ -202,7 +214,7 @@ class Mix:
                     yield from out.to_batches()
                 release()
 
-        return map_arrow(met.select(*names, "__a", "__size", "__takes"), run, self.docs.schema)
+        return map_arrow(met.select(*names, "__a", "__size", "__words", "__takes"), run, self.docs.schema)
 
 
 def passes(text: bytes, a: int, size: int, times: dict[int, int], block_words: int) -> Iterator[bytes]:
@@ -225,4 +237,5 @@ def passes(text: bytes, a: int, size: int, times: dict[int, int], block_words: i
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document, as `Mix.taken` gives it; the cases of `Mix` hold."""
     return Mix(documents(spark, sf_dir)).taken().select("doc_id", "size", "source_size", "target", "taken")

@@ -1,7 +1,7 @@
 """Quality rules by distribution divergence.
 
-For every language of the corpus the engine counts, over all documents, how often each character class and each of the
-most common short words occurs. A document is compared with these references by Jensen-Shannon distance (base 2, the
+For every language of the corpus the engine counts, over all documents, how often each character class and each word
+occurs; the most common words make the reference. A document is compared with these references by Jensen-Shannon distance (base 2, the
 square root of the divergence) and takes the least distance to any language. It is rejected where a distance passes its
 limit, and a histogram is only trusted from a least number of words on.
 """
@@ -21,8 +21,6 @@ from runlens.llm.common import documents, map_arrow, slices, texts
 CLASSES = ("other", "lower", "upper", "digit", "blank", "break", "symbol", "letter beyond ASCII", "stop", "control")
 _CONTINUES = len(CLASSES)  # bytes within a code point count nowhere
 COMMON_WORDS = 64
-COMMON_BYTES = 8  # longer words aren't counted as common
-LANGUAGES = 256  # references kept, the largest languages first
 CHAR_LIMIT, CHAR_WORDS = 0.30, 50
 WORD_LIMIT, WORD_WORDS = 0.40, 100
 SLICE = 4 << 20
@@ -90,22 +88,21 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = text.lower().split()
                 classes[lang] += class_counts(text)
                 totals[lang] += len(own)
-                words[lang].update([w for w in own if len(w) <= COMMON_BYTES])
+                words[lang].update(own)
         if sum(map(len, words.values())) > 200_000:
             yield from flush()
     yield from flush()
 
 
 def references(docs: DataFrame) -> list[dict]:
-    """Per language: class shares and common-word shares, the last for all other words. At most LANGUAGES * 75 rows reach the driver."""
+    """Per language: class shares and common-word shares, the last for all other words. 75 rows of a language reach the driver."""
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
     parts = map_arrow(docs.select(lang.alias("lang"), "text"), _profile, "lang string, kind int, key binary, n long")
     counts = parts.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     top = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key")
     kept = counts.withColumn("place", F.row_number().over(top)).where(F.col("place") <= COMMON_WORDS)
-    largest = counts.where("kind = 2").orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
     found: dict = defaultdict(lambda: {0: {}, 1: {}, 2: {}})
-    for r in kept.join(F.broadcast(largest), "lang").orderBy("lang", "kind", "place").collect():
+    for r in kept.orderBy("lang", "kind", "place").collect():
         found[r["lang"]][r["kind"]][bytes(r["key"])] = r["n"]
     out = []
     for name in sorted(found):
@@ -159,7 +156,7 @@ def verdicts(docs: DataFrame, refs: list[dict] | None = None) -> DataFrame:
 
     A null or empty text has no words and fails the base rules. A null lang counts as the language `und`. Rows that repeat
     get a row each. An empty table gives no rows. Without any reference only the base rules decide. Other columns are not
-    read; a document's own lang isn't used for its verdict.
+    read; a document's own lang isn't used for its verdict. Very long texts are counted whole.
     """
     refs = references(docs) if refs is None else refs
 
@@ -185,4 +182,5 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
+    """The verdict on every whole text of documents, as `verdicts` gives it; its cases hold."""
     return verdicts(documents(spark, sf_dir))
