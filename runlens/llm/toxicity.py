@@ -10,6 +10,7 @@ which gives the score. Everything is fitted on a bounded sample; scoring reads e
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm.common import documents, map_arrow, slices, texts
+from runlens.session import shared_dir
 
-TOXIC_SAMPLE, CLEAN_SAMPLE, ANY_SAMPLE = 2000, 4000, 2000  # documents of the sample: labelled 1, labelled 0, any
-SAMPLE_BYTES = 1 << 16  # longer texts don't enter the sample
+TOXIC_SAMPLE, CLEAN_SAMPLE, OTHER_SAMPLE = 2000, 4000, 2000  # documents of the sample: labelled 1, labelled 0, without a label
 LEXICON = 400  # word voters
 STEMS = 40  # stem voters
-LEAST_DOCS = 3  # toxic documents of the sample with a suspicious word
+LEAST_DOCS = 3  # toxic documents with a suspicious word
 CHANCE = 0.2  # words that may be suspicious by chance
 RIDGE = 0.3
 STEPS = 25
@@ -43,109 +44,125 @@ def _stems(words: set[bytes]) -> set[bytes]:
     return {w[:6] for w in words if len(w) > 6}
 
 
-class _Numbers(dict):
-    """Numbers words in the order in which they come."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
-def _suspicious(sets: list[np.ndarray], names: dict[bytes, int], toxic: np.ndarray, most: int) -> list[bytes]:
-    """Words that are more frequent in toxic documents than chance allows, with a correction for the number of words tried."""
-    count = lambda y: np.bincount(np.concatenate([s for s, t in zip(sets, toxic) if t == y] or [np.zeros(0, np.int64)]), minlength=len(names))
-    in_toxic, in_clean = count(1), count(0)
-    pos = {w: int(in_toxic[i]) for w, i in names.items() if in_toxic[i] >= LEAST_DOCS}
-    neg = {w: int(in_clean[names[w]]) for w in pos}
-    rate = (toxic == 1).sum() / max(1, (toxic >= 0).sum())
-    tried = list(pos)
-
-    def evidence(w: bytes) -> float:
-        """The Chernoff bound: n * KL(share of toxic documents, their rate)."""
-        n, q = pos[w] + neg[w], pos[w] / (pos[w] + neg[w])
-        if q <= rate:
-            return 0.0
-        return n * (q * np.log(q / rate) + (0 if q == 1 else (1 - q) * np.log((1 - q) / (1 - rate))))
-
-    found = {w: e for w in tried if (e := evidence(w)) > np.log(len(tried) / CHANCE)}
-    return sorted(found, key=lambda w: (-found[w], w))[:most]
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts: kind (0 word, 1 stem), word, toxic and clean documents that have it."""
+    counts: dict = {(k, y): Counter() for k in (0, 1) for y in (0, 1)}
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for kind in (0, 1):
+            clean, toxic = counts[kind, 0], counts[kind, 1]
+            found = list({**clean, **toxic})
+            if found:
+                columns = [pa.array([kind] * len(found), pa.int32()), pa.array(found, pa.binary())]
+                columns += [pa.array([c[w] for w in found], pa.int64()) for c in (toxic, clean)]
+                yield pa.RecordBatch.from_arrays(columns, ["kind", "word", "toxic", "clean"])
+        for c in counts.values():
+            c.clear()
+
+    for batch in batches:
+        for part in slices(batch, "text", 4 << 20):
+            for text, label in zip(texts(part.column("text")), part.column("label").to_pylist()):
+                own = words_of(text)
+                counts[0, label].update(own)
+                counts[1, label].update(_stems(own))
+            if sum(map(len, counts.values())) > 200_000:
+                yield from flush()
+    yield from flush()
+
+
+def suspicious(labelled: DataFrame, toxic: int, clean: int) -> tuple[list[bytes], list[bytes]]:
+    """Words and stems that are more frequent in toxic documents than chance allows, corrected for the number of words tried."""
+    parts = map_arrow(labelled.select("text", "label"), _count_words, "kind int, word binary, toxic long, clean long")
+    counts = parts.groupBy("kind", "word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(F.col("toxic") >= LEAST_DOCS)
+    rate = toxic / (toxic + clean)
+    n = F.col("toxic") + F.col("clean")
+    q = F.col("toxic") / n
+    rest = F.when(q >= 1, 0.0).otherwise((1 - q) * F.log((1 - q) / F.lit(max(1e-12, 1 - rate))))
+    evidence = n * (q * F.log(q / F.lit(rate)) + rest)  # the Chernoff bound: n * KL(share of toxic documents, their rate)
+    tried = {r["kind"]: r["count"] for r in counts.groupBy("kind").count().collect()}
+    out = []
+    for kind, most in ((0, LEXICON), (1, STEMS)):
+        passed = counts.where((F.col("kind") == kind) & (q > rate)).select("word", evidence.alias("e")).where(F.col("e") > float(np.log(max(1, tried.get(kind, 0)) / CHANCE)))
+        out.append([bytes(r["word"]) for r in passed.orderBy(F.desc("e"), "word").limit(most).collect()])
+    return out[0], out[1]
+
+
+class Voters:
+    """What the words, stems and patterns say of a text: 1 for toxic, -1 for clean, 0 for nothing."""
+
+    def __init__(self, lexicon: list[bytes], stems: list[bytes]):
+        self.words = {w: i for i, w in enumerate(lexicon)}
+        self.stems = {w: i + len(lexicon) for i, w in enumerate(stems)}
+        self.count = len(lexicon) + len(stems) + 3
+
+    def votes(self, text: bytes) -> np.ndarray:
+        out, own = np.zeros(self.count, np.int8), words_of(text)
+        hits = [self.words[w] for w in own if w in self.words]
+        out[hits] = 1
+        out[[self.stems[w] for w in _stems(own) if w in self.stems]] = 1
+        out[-3] = -1 if not hits else 1 if len(hits) > 1 else 0
+        out[-2] = 1 if len(_SHOUT.findall(text)) > 2 else 0
+        out[-1] = 1 if _YOU.search(text) else 0
+        return out
 
 
 class LabelModel:
     """Posterior probability of label 1 from votes: 1 for toxic, -1 for clean, 0 for none."""
 
-    def fit(self, votes: np.ndarray, prior: float, rounds: int = 60) -> np.ndarray:
+    def fit(self, votes: np.ndarray, weight: np.ndarray, prior: float, rounds: int = 60) -> np.ndarray:
+        """weight: of each document."""
         kinds = np.stack([votes == v for v in (-1, 0, 1)]).astype(np.float32)  # kind, document, voter
         lean = votes.sum(axis=1, dtype=int)
         p = np.clip(np.where(lean > 0, 0.9, np.where(lean < 0, 0.02, prior)), 0.01, 0.99)
         self.share = np.ones(votes.shape[1])
         for _ in range(rounds):
-            rates = [(np.stack([w @ x for x in kinds]) + 0.05) / (w.sum() + 0.15) for w in (1 - p, p)]  # accuracies: rates by label
+            rates = [(np.stack([w @ x for x in kinds]) + 0.05) / (w.sum() + 0.15) for w in (weight * (1 - p), weight * p)]  # accuracies: rates by label
             self.weights = np.log(rates[1]) - np.log(rates[0])
             odds = sum(x @ y for x, y in zip(kinds, self.weights * self.share))
-            prior = np.clip(p.mean(), 1e-3, 0.5)
+            prior = np.clip(np.average(p, weights=weight), 1e-3, 0.5)
             p = 1 / (1 + np.exp(-np.clip(odds + np.log(prior / (1 - prior)), -30, 30)))
-            self.share = self._independent(votes, rates, p)
+            self.share = self._independent(votes, weight, rates, p)
         return p
 
     @staticmethod
-    def _independent(votes: np.ndarray, rates: list[np.ndarray], p: np.ndarray) -> np.ndarray:
+    def _independent(votes: np.ndarray, weight: np.ndarray, rates: list[np.ndarray], p: np.ndarray) -> np.ndarray:
         """1 / (1 + correlations left over when the label is known): what a voter says that others don't."""
         expected = np.outer(p, rates[1][2] - rates[1][0]) + np.outer(1 - p, rates[0][2] - rates[0][0])
-        left = votes - expected
+        left = (votes - expected) * np.sqrt(weight / weight.mean())[:, None]
         scale = np.sqrt((left**2).mean(axis=0)) + 1e-9
         rho = np.abs((left.T @ left) / len(votes) / np.outer(scale, scale))
         np.fill_diagonal(rho, 0)
         return 1 / (1 + np.where(rho > 0.3, rho, 0).sum(axis=1))
 
 
-def _logistic(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, float]:
+def _logistic(x: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights and bias of a ridge logistic regression on soft labels, by Newton steps."""
     x = np.column_stack([x, np.ones(len(x))])
     penalty = np.full(x.shape[1], RIDGE)
     penalty[-1] = 1e-6
-    w = np.zeros(x.shape[1])
-    w[-1] = np.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3))
+    w, mean = np.zeros(x.shape[1]), np.average(target, weights=weight)
+    w[-1] = np.log((mean + 1e-3) / (1 - mean + 1e-3))
     for _ in range(STEPS):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (target - p) - penalty * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (weight * (target - p)) - penalty * w)
         w += np.clip(step, -2, 2)
     return w[:-1], float(w[-1])
 
 
 class ToxicityModel:
-    """Voters, label model and classifier, fitted on a sample of texts with labels 1, 0 or -1 for none."""
+    """Label model and classifier, fitted to votes with labels 1, 0 or -1 for none and a weight for each document."""
 
-    def __init__(self, items: list[bytes], labels: list[int]):
-        toxic = np.array(labels, dtype=int)
+    def __init__(self, voters: Voters | None = None, votes: np.ndarray | None = None, labels: np.ndarray | None = None, weight: np.ndarray | None = None):
         self.place, self.weights, self.bias = {}, np.zeros(0), -5.0
-        if not (toxic == 1).any():
+        if voters is None or not (labels == 1).any():
             return
-        of_word, of_stem, sets, stems = _Numbers(), _Numbers(), [], []  # numbers, not words: the sample has millions of them
-        for text in items:
-            own = words_of(text)
-            sets.append(np.array([of_word[w] for w in own], np.int32))
-            stems.append(np.array([of_stem[w] for w in _stems(own)], np.int32))
-        lexicon, roots = _suspicious(sets, of_word, toxic, LEXICON), _suspicious(stems, of_stem, toxic, STEMS)
-        k = len(lexicon) + len(roots)
-        voter = np.full(len(of_word), -1, np.int32)
-        voter[[of_word[w] for w in lexicon]] = np.arange(len(lexicon))
-        stem_voter = np.full(len(of_stem), -1, np.int32)
-        stem_voter[[of_stem[w] for w in roots]] = np.arange(len(lexicon), k)
-        votes = np.zeros((len(items), k + 4), np.int8)
-        for i, (text, s, r) in enumerate(zip(items, sets, stems)):
-            hits = voter[s][voter[s] >= 0]
-            votes[i, hits] = 1
-            votes[i, stem_voter[r][stem_voter[r] >= 0]] = 1
-            votes[i, k] = -1 if not len(hits) else 1 if len(hits) > 1 else 0
-            votes[i, k + 1] = 1 if len(_SHOUT.findall(text)) > 2 else 0
-            votes[i, k + 2] = 1 if _YOU.search(text) else 0
-            votes[i, k + 3] = (-1, 1)[labels[i]] if labels[i] >= 0 else 0
-        known = toxic >= 0
+        given = np.where(labels >= 0, 2 * labels - 1, 0).astype(np.int8)  # the label is a voter, too
+        weight = weight / weight[labels == 1].mean()  # a toxic document counts as one
         self.model = LabelModel()
-        posterior = self.model.fit(votes, float((toxic[known] == 1).mean()))
-        self.place = {w: i for i, w in enumerate(lexicon)}
-        self.weights, self.bias = _logistic((votes[:, : len(lexicon)] > 0).astype(float), posterior)
+        known = labels >= 0
+        posterior = self.model.fit(np.column_stack([votes, given]), weight, float(np.average(labels[known] == 1, weights=weight[known])))
+        self.place = voters.words
+        self.weights, self.bias = _logistic((votes[:, : len(self.place)] > 0).astype(float), posterior, weight)
 
     def score(self, text: bytes) -> float:
         place, weights = self.place, self.weights
@@ -159,23 +176,49 @@ def held_out(doc_id):
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
-    """The sample: least hashes of doc_id. Several labels of one document count as the highest."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    ids = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.lit(-1).alias("label"))
-    first = lambda df, n: df.select("doc_id", F.col("label").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    sample = first(known.where("label >= 1"), TOXIC_SAMPLE).union(first(known.where("label < 1"), CLEAN_SAMPLE)).union(first(ids, ANY_SAMPLE))
-    sample = sample.groupBy("doc_id").agg(F.max("label").alias("label"))  # at most the three bounds together
-    texts_of = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "text")
-    rows = texts_of.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    return ToxicityModel([r["text"].encode() for r in rows], [r["label"] for r in rows])
+    """The sample: least hashes of doc_id. Several labels of one document count as the highest, of several texts with one id the least hash."""
+    folder = f"{shared_dir(docs.sparkSession).rstrip('/')}/toxicity-{uuid.uuid4().hex}"
+    mine = F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
+    known = labels.where(mine & F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") >= 1).cast("int").alias("label"))
+    train = docs.where(mine).select("doc_id", "text")
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))
+    train.join(known, "doc_id").groupBy("doc_id", "label").agg(one.alias("t")).select("doc_id", "label", "t.text").write.parquet(f"{folder}/labelled")
+    labelled = docs.sparkSession.read.parquet(f"{folder}/labelled")
+    size = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
+    if not size.get(1):
+        return ToxicityModel()
+    voters = Voters(*suspicious(labelled, size[1], size.get(0, 0)))
+    ids = train.select("doc_id").distinct()
+    others = ids.join(known.select("doc_id"), "doc_id", "left_anti").withColumn("label", F.lit(-1))
+    size[-1] = ids.count() - size[1] - size.get(0, 0)
+    first = lambda df, n: df.select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    marked = first(labelled.where("label = 1"), TOXIC_SAMPLE).union(first(labelled.where("label = 0"), CLEAN_SAMPLE))
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 4 << 20):
+                votes = pa.array([voters.votes(t).tobytes() for t in texts(part.column("text"))], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), part.column("h"), votes], ["doc_id", "label", "h", "votes"])
+
+    def asked(texts_of: DataFrame, sample: DataFrame) -> DataFrame:
+        rows = texts_of.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", F.xxhash64("text").alias("h"), "text")
+        return map_arrow(rows, vote, f"doc_id {dict(docs.dtypes)['doc_id']}, label int, h long, votes binary")
+
+    found = asked(labelled, marked).union(asked(train, first(others, OTHER_SAMPLE)))
+    rows = found.groupBy("doc_id", "label").agg(F.min(F.struct("h", "votes")).alias("v")).select("doc_id", "label", "v.votes").orderBy("doc_id").collect()  # the three bounds together
+    given = np.array([r["label"] for r in rows])
+    weight = np.array([size[y] / (given == y).sum() for y in given.tolist()])
+    votes = np.frombuffer(b"".join(bytes(r["votes"]) for r in rows), np.int8).reshape(len(rows), -1)
+    return ToxicityModel(voters, votes, given, weight)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, model: ToxicityModel | None = None) -> DataFrame:
     """doc_id, held_out, score and predicted.
 
     A null or empty text has the score of a text without words. A null doc_id counts as not held out and has no label. Rows
-    that repeat get a row each. An empty table gives no rows; without a toxic label in the sample every score is near 0.
-    Other columns are not read, and a score reads the text only.
+    that repeat get a row each. An empty table gives no rows; without a toxic label every score is near 0. Words with equal
+    evidence come by their bytes. Very long texts are read whole, here and in training. Bytes that are no UTF-8 count as
+    replacement characters. Other columns are not read, and a score reads the text only.
     """
     model = model or fit(docs, labels)
 
@@ -191,4 +234,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, model: ToxicityModel | N
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
+    """The score of every whole text of documents, as score_documents gives it; its cases hold."""
     return score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

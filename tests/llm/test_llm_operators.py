@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from runlens.llm import language, lmscore, media, mixing, pieces, quality, ring, simhash, suffixes, toxicity
 
@@ -162,6 +163,39 @@ def test_language_of_odd_rows(docs, empty):
     assert language.identify(empty).count() == 0
 
 
+def test_language_of_many(spark):
+    """Ninety languages, one of them with a long text only: all are learned; equal margins go to the first."""
+    rng = random.Random(6)
+    syllables = [f"{a}{b}" for a in "bcdfghjklmnpqrstvwxz" for b in "aeiouy"]
+    own = {f"l{k:02}": rng.sample(syllables, 5) for k in range(90)}
+    say = lambda g, n: " ".join("".join(rng.choice(own[g]) for _ in range(3)) for _ in range(n))
+    rows = [(i, say(g, 30_000 if g == "l50" else 40), g) for i, g in enumerate(g for g in own for _ in range(2 if g == "l50" else 8))]
+    got = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    lang = {i: g for i, _, g in rows}
+    learned = {lang[r.doc_id] for r in got if not r.held_out}
+    held = [r for r in got if r.held_out and lang[r.doc_id] in learned]
+    assert "l50" in learned and {r.lang_pred for r in got} >= learned - {"l50"} and any(r.lang_pred == "l50" for r in got)
+    assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.9 * len(held)
+
+
+def test_language_scores_against_the_kernel():
+    """The folded weights give the margins of kernel, Nystroem features and ridge regression as written out."""
+    rng = random.Random(9)
+    items, langs = [words(rng, 20).encode() for _ in range(30)] + [b"xyzzy plugh " * (k + 1) for k in range(9)], ["a"] * 15 + ["b"] * 15 + ["c"] * 9
+    marks = [k % 2 == 0 for k in range(39)]
+    model = language.LanguageModel(language.packed(items), langs, marks)
+    x = language.presence(items).astype(float)
+    kernel = x @ x[np.array(marks)].T
+    values, vectors = np.linalg.eigh(kernel[np.array(marks)])
+    good = values > 1e-6 * values[-1]
+    f = np.column_stack([kernel @ (vectors[:, good] / np.sqrt(values[good])), np.ones(39)])
+    y = np.array([[1.0 if g == c else -1.0 for c in "abc"] for g in langs])
+    d = np.diag([1 / langs.count(g) for g in langs])
+    margins = f @ np.linalg.solve(f.T @ d @ f + np.diag([language.RIDGE] * (f.shape[1] - 1) + [1e-9]), f.T @ d @ y)
+    names, scores = model.decide(items)
+    assert names == ["abc"[k] for k in margins.argmax(axis=1)] and np.allclose(scores, np.clip((margins.max(axis=1) + 1) / 2, 0, 1), atol=1e-3)
+
+
 # ---- 4
 def test_lm_base_and_probability(docs, rows):
     tok = {k: re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), r[1] or "")) + ["\n"] for k, r in enumerate(rows)}
@@ -447,6 +481,17 @@ def test_ring_walk_against_single_keys():
     assert got == place
 
 
+def test_ring_owner_against_the_points(spark):
+    """With thousands of shards, places on, before and after points, and beyond the last."""
+    for n, v in ((7, 8), (5000, 4)):
+        points = ring.points(n, v)
+        places = [p for p, _ in points]
+        rng = random.Random(4)
+        asked = [*rng.sample(places, 20), *(p + 1 for p in rng.sample(places, 20)), *(rng.randrange(1 << 60) for _ in range(60)), 0, (1 << 60) - 1]
+        got = spark.createDataFrame([(p,) for p in asked], "p long").select("p", ring.owner(F.col("p"), points).alias("o")).collect()
+        assert all(r.o == next((i for i, q in enumerate(places) if q >= r.p), 0) for r in got)
+
+
 def test_ring_runs_no_python(docs):
     plan = ring.shard_documents(docs, 7, 8)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -552,15 +597,59 @@ def test_damaged_media_is_found():
 
 
 # ---- 10
-def test_toxicity(spark):
-    sf = "/root/testdata/sf0.01"
+@pytest.mark.parametrize("size, least", [("0.01", 0.6), ("0.1", 0.9)])  # a tenth of 1,000 documents teaches little
+def test_toxicity(spark, size, least):
+    sf = f"/root/testdata/sf{size}"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     label = {r.doc_id: (r.toxic, r.quality) for r in labels.collect()}
     rows = toxicity.score_documents(docs, labels).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
     clean = [r.predicted for r in rows if r.held_out and label.get(r.doc_id, (None,))[0] == 0]
     toxic = [r.predicted for r in rows if r.held_out and label.get(r.doc_id, (None, 0)) == (1, 1)]
-    assert sum(clean) <= 0.03 * len(clean) and sum(toxic) >= 0.6 * len(toxic)
+    assert sum(clean) <= 0.03 * len(clean) and sum(toxic) >= least * len(toxic)
+
+
+def toxic_rows(n, seed=2):
+    """Texts of random words; of the toxic tenth each has two of twenty slurs, and every fifth is marked wrongly."""
+    rng = random.Random(seed)
+    docs, labels = [], []
+    for i in range(n):
+        own, bad = words(rng, 40).split(), i % 10 == 0
+        if bad:
+            own += [f"slur{rng.choice('abcdefghijklmnopqrst')}" for _ in range(2)]
+        docs.append((i, " ".join(own)))
+        labels.append((i, 1, int(bad)))
+    return docs, labels
+
+
+def test_toxicity_keeps_the_rate(spark, monkeypatch):
+    """With a sample that has far more toxic documents than the table, scores stay near those of the whole table."""
+    docs, labels = toxic_rows(1500)
+    d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    whole = {r.doc_id: r.score for r in toxicity.score_documents(d, y).collect()}
+    monkeypatch.setattr(toxicity, "CLEAN_SAMPLE", 120)
+    few = {r.doc_id: r.score for r in toxicity.score_documents(d, y).collect()}
+    mean = lambda scores, bad: np.mean([s for i, s in scores.items() if (i % 10 == 0) == bad])
+    assert all(abs(mean(whole, bad) - mean(few, bad)) < 0.05 for bad in (False, True))
+    assert all(few[i] < 0.3 for i in few if i % 10) and sum(few[i] >= 0.3 for i in few if not i % 10) >= 0.95 * 150
+
+
+def test_toxicity_of_ids_that_repeat(spark):
+    """An id with unlike texts, in any order, and a labelled text of some 100 KB."""
+    docs, labels = toxic_rows(600)
+    docs += [(0, "slura slurb of another text"), (10, None), (20, ""), (30, "x " * 50_000 + "slura slurb")]
+    y = spark.createDataFrame([*labels, (0, 0, 0), (5, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    score = lambda rows: sorted((str(r.doc_id), round(r.score, 9)) for r in toxicity.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), y).collect())
+    assert score(docs) == score(docs[::-1])
+
+
+def test_label_model_finds_accuracies():
+    """Voters with known rates of error: the posterior is right more often than the best of them."""
+    rng = np.random.default_rng(1)
+    truth = rng.random(4000) < 0.3
+    votes = np.stack([np.where(rng.random(4000) < right, truth, ~truth) * 2 - 1 for right in (0.9, 0.85, 0.8, 0.75, 0.7)], axis=1).astype(np.int8)
+    p = toxicity.LabelModel().fit(votes, np.ones(4000), 0.3)
+    assert ((p > 0.5) == truth).mean() > 0.93
 
 
 def test_toxicity_of_odd_rows(spark, docs, empty):
