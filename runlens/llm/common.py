@@ -28,6 +28,17 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(f, schema)
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """Names that no column has, from the given ones; Spark compares names without case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch where the UTF-8 bytes of `column` pass `limit`; one long text stands alone and whole."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import documents, map_arrow, slices, texts
+from runlens.llm.common import documents, free, map_arrow, slices, texts
 from runlens.session import shared_dir, ship
 
 SHINGLE = 3
@@ -30,6 +30,7 @@ SAMPLE = 16_384
 SHARD = 2_048  # fingerprints that a shard should have
 LEAF = 128
 TRIES = 6  # vantage points tried for a node
+PARTS = 16  # of the edges of a node, when they are joined
 _HALF = np.uint64(0xFFFFFFFF)
 _UPPER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -160,6 +161,12 @@ def links(nodes: DataFrame, half: int) -> DataFrame:
     return map_arrow(nodes, deal, "shard long, fp long").groupBy("shard").applyInArrow(meet, "u long, v long")
 
 
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges with column m of least, by u; a node with very many edges is dealt out by their other ends."""
+    spread = edges.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)).cast("int"))
+    return spread.join(least.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).hint("merge"), ["u", "part"]).drop("part")
+
+
 def components(edges: DataFrame, folder: str) -> DataFrame:
     """u, root for every node with an edge that isn't a root itself; roots are the least of their component."""
     spark = edges.sparkSession
@@ -173,9 +180,9 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         state = mark
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _with_least(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lower.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = _with_least(large, lower).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small.union(lower).distinct().write.parquet(f"{folder}/edges-{turn + 1}")
         turn += 1
 
@@ -201,8 +208,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row.
 
     A text without words, null included, has fingerprint 0 and is linked like any other. Rows that repeat get a row each; a
-    null doc_id gets the component of its text and never names one, unless a component has no other. An empty table gives
-    no rows. Other columns are not read.
+    null doc_id gets the component of its text and never names one, unless a component has no other. Ties of ids go to the
+    least text hash. A very long text is hashed whole, in parts. An empty table gives no rows. Other columns are not read.
     """
     return _joined(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
@@ -210,13 +217,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The row of docs with the least doc_id of each component, with all columns; of rows that repeat it, one.
 
-    Cases as in near_duplicates. Column names that begin with `__` are reserved.
+    Cases as in near_duplicates. docs may have columns of any names.
     """
-    firsts = _joined(docs).select("first.*").distinct().select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
-    keyed = docs.withColumn("__key", F.xxhash64("text"))
-    met = keyed.join(firsts.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__h")), "left_semi")
-    return met.dropDuplicates(["doc_id", "__key"]).drop("__key")
+    own_id, own_h, key = free(docs.columns, "own_id", "own_h", "key")
+    firsts = _joined(docs).select("first.*").distinct().select(F.col("doc_id").alias(own_id), F.col("h").alias(own_h))
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    met = keyed.join(firsts.hint("merge"), F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(key) == F.col(own_h)), "left_semi")
+    return met.dropDuplicates(["doc_id", key]).drop(key)
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every whole text of documents, as near_duplicates gives them; its cases hold."""
     return near_duplicates(documents(spark, sf_dir))
