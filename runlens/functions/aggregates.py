@@ -34,8 +34,9 @@ def movmean(df: DataFrame, width: float) -> DataFrame:
     point = F.struct("t", "i", "c")
     knots = d.select(*keys, F.col("t").alias("at"), F.lit(0).alias("is_query"), "idx", point.alias("p"), F.lit(None).cast("struct<t:double,i:double,c:double,x:double>").alias("q"))
     asked = d.select(*keys, F.col("tq").alias("at"), F.lit(1).alias("is_query"), "idx", F.lit(None).cast("struct<t:double,i:double,c:double>").alias("p"), F.struct("t", "i", "c", "x").alias("q"))
-    o = Window.partitionBy(*keys).orderBy("at", "is_query", "idx")
-    b = knots.unionByName(asked).withColumn("l", F.last("p", True).over(o.rowsBetween(Window.unboundedPreceding, 0))).withColumn("r", F.first("p", True).over(o.rowsBetween(1, Window.unboundedFollowing))).where("is_query = 1")
+    running = lambda *order: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    names = ("at", "is_query", "idx")
+    b = knots.unionByName(asked).withColumn("l", F.last("p", True).over(running(*names))).withColumn("r", F.last("p", True).over(running(*map(F.desc, names)))).where("is_query = 1")
     share = (F.col("at") - F.col("l.t")) / F.nullif(F.col("r.t") - F.col("l.t"), F.lit(0.0))
     at = lambda c: F.when(F.col("l.t") == F.col("at"), F.col(f"l.{c}")).otherwise(F.col(f"l.{c}") + share * (F.col(f"r.{c}") - F.col(f"l.{c}")))
     covered = F.col("q.c") - at("c")

@@ -11,10 +11,11 @@ def _bracketed(samples: DataFrame, grid: DataFrame, on: list[str]) -> DataFrame:
     none = F.lit(None)
     s = samples.select(*on, "t", F.lit(0).alias("is_query"), F.col("idx"), F.struct("t", "x", "idx").alias("s"))
     q = grid.select(*on, "t", F.lit(1).alias("is_query"), none.cast("long").alias("idx"), none.cast(s.schema["s"].dataType).alias("s"))
-    w = Window.partitionBy(*on).orderBy("t", "is_query", "idx")
-    both = s.unionByName(q)
-    left = F.last("s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    right = F.first("s", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    names = ("t", "is_query", "idx")
+    both, by = s.unionByName(q), Window.partitionBy(*on)
+    # two running frames, one for each direction: a frame to the end of the run would be gone over again for every row
+    left = F.last("s", ignorenulls=True).over(by.orderBy(*names).rowsBetween(Window.unboundedPreceding, 0))
+    right = F.last("s", ignorenulls=True).over(by.orderBy(*map(F.desc, names)).rowsBetween(Window.unboundedPreceding, 0))
     return both.withColumn("left", left).withColumn("right", right).where("is_query = 1")
 
 
@@ -70,10 +71,10 @@ def reconstruction_error(samples: DataFrame, retained: DataFrame) -> DataFrame:
     """Largest distance of the finite samples from the line through the retained ones, by signal."""
     keys = ["run_id", "signal"]
     knots = samples.join(retained.select(*keys, "idx").distinct(), [*keys, "idx"], "left_semi")
-    w = Window.partitionBy(*keys).orderBy("idx")
+    so_far = lambda order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     own = samples.join(knots.select(*keys, "idx", F.lit(True).alias("kept")), [*keys, "idx"], "left")
     knot = F.when(F.col("kept"), F.struct("t", "x"))
-    d = own.withColumn("a", F.last(knot, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", F.first(knot, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    d = own.withColumn("a", F.last(knot, ignorenulls=True).over(so_far("idx"))).withColumn("b", F.last(knot, ignorenulls=True).over(so_far(F.desc("idx"))))
     share = (F.col("t") - F.col("a.t")) / F.nullif(F.col("b.t") - F.col("a.t"), F.lit(0.0))
     guess = F.coalesce(F.col("a.x") + share * (F.col("b.x") - F.col("a.x")), F.col("a.x"))
     return d.groupBy(*keys).agg(F.max(F.when(F.col("kept").isNull(), F.abs(F.col("x") - guess))).alias("max_error"), F.count("kept").alias("retained"), F.count(F.lit(1)).alias("samples"))

@@ -87,6 +87,41 @@ def event_samples(samples: DataFrame, e: Event) -> tuple[list[DataFrame], DataFr
     return [*marks, _mark(spans, "idx", f"{role}#window")], counted
 
 
+def _partners(samples: DataFrame, kept: DataFrame, group: dict) -> DataFrame:
+    """The times that a sync group propagates, on every member, as sync_groups finds them."""
+    members = samples.where(F.col("signal").isin(group["members"]))
+    loud = kept.where(~F.col("role").isin(*QUIET)).select("run_id", "signal", "idx").distinct()
+    moved = members.join(loud, ["run_id", "signal", "idx"], "left_semi")
+    if group.get("propagate"):
+        moved = moved.where(F.col("signal").isin(group["propagate"]))
+    return sync_groups(members, moved)
+
+
+def _places(partners: DataFrame) -> DataFrame:
+    return partners.select("run_id", "t", "signal", F.explode(F.array("index", "index_before", "index_after")).alias("idx")).where("idx is not null")
+
+
+def _synchronised(samples: DataFrame, kept: DataFrame, policy: Policy) -> DataFrame:
+    """Adds the samples of the sync groups."""
+    for group in policy.sync:
+        kept = kept.unionByName(_mark(_places(_partners(samples, kept, group)), "idx", "sync")).distinct()
+    return kept
+
+
+def _charged(samples: DataFrame, picks: DataFrame, hard: DataFrame, policy: Policy) -> DataFrame:
+    """cost: the samples that sync groups add at the time of a pick, itself included; picks at one time pay for them each."""
+    if not policy.sync:
+        return picks.withColumn("cost", F.lit(1).cast("long"))
+    have = hard.select("run_id", "signal", "idx").distinct()
+    added = None
+    for group in policy.sync:
+        new = _places(_partners(samples, _mark(picks, "idx", "soft"), group)).join(have, ["run_id", "signal", "idx"], "left_anti")
+        added = new if added is None else added.unionByName(new)
+    owed = added.distinct().groupBy("run_id", "t").agg(F.count(F.lit(1)).alias("owed"))
+    timed = picks if "t" in picks.columns else picks.join(samples.select("run_id", "signal", "idx", "t"), ["run_id", "signal", "idx"])
+    return timed.join(owed, ["run_id", "t"], "left").withColumn("cost", F.greatest(F.lit(1), F.coalesce("owed", F.lit(1))).cast("long"))
+
+
 def compile_runs(samples: DataFrame, policy: Policy) -> Compiled:
     """Retained samples, evidence and bytes of every run."""
     used = samples.where(F.col("signal").isin([*policy.soft])) if policy.soft else samples
@@ -97,7 +132,7 @@ def compile_runs(samples: DataFrame, policy: Policy) -> Compiled:
     for marks, found in [*(hard_samples(samples, h) for h in policy.hard), *(event_samples(samples, e) for e in policy.events)]:
         parts += marks
         counts.append(found)
-    hard = reduce(DataFrame.unionByName, parts).distinct()
+    hard = _synchronised(samples, reduce(DataFrame.unionByName, parts).distinct(), policy)
     # the preview: the best samples of each signal by weight, as far as the bytes of the run allow
     ranked = preview_rank(used, 10).join(hard.select("run_id", "signal", "idx").distinct(), ["run_id", "signal", "idx"], "left_anti")
     weight, cap = F.lit(0.0), F.lit(0)
@@ -106,18 +141,13 @@ def compile_runs(samples: DataFrame, policy: Policy) -> Compiled:
     ranked = ranked.where((F.col("rank") <= cap) & (weight > 0)).withColumn("order_", F.col("rank") / weight)
     used_bytes = hard.select("run_id", "signal", "idx").distinct().groupBy("run_id").agg((F.count(F.lit(1)) * SAMPLE_BYTES).alias("hard_bytes"))
     if policy.max_size is not None:
-        so_far = F.count(F.lit(1)).over(Window.partitionBy("run_id").orderBy("order_", "signal", "idx").rowsBetween(Window.unboundedPreceding, 0)) * SAMPLE_BYTES
+        ranked = _charged(samples, ranked, hard, policy)
+        so_far = F.sum("cost").over(Window.partitionBy("run_id").orderBy("order_", "signal", "idx").rowsBetween(Window.unboundedPreceding, 0)) * SAMPLE_BYTES
         ranked = ranked.withColumn("bytes_", so_far).join(used_bytes, "run_id").where(F.col("bytes_") + F.col("hard_bytes") <= policy.max_size)
-    kept = hard.unionByName(_mark(ranked, "idx", "soft"))
+    soft = _mark(ranked, "idx", "soft")
+    kept = _synchronised(samples, hard.unionByName(soft), policy) if policy.sync else hard.unionByName(soft)
     for i, group in enumerate(policy.sync):
-        members = samples.where(F.col("signal").isin(group["members"]))
-        loud = kept.where(~F.col("role").isin(*QUIET)).select("run_id", "signal", "idx").distinct()
-        moved = members.join(loud, ["run_id", "signal", "idx"], "left_semi")
-        if group.get("propagate"):
-            moved = moved.where(F.col("signal").isin(group["propagate"]))
-        g = sync_groups(members, moved)
-        both = g.select("run_id", "signal", F.explode(F.array("index", "index_before", "index_after")).alias("idx"))
-        kept = kept.unionByName(_mark(both, "idx", "sync")).distinct()
+        g = _partners(samples, kept, group)
         counts.append(g.where("status = 'unaligned'").groupBy("run_id").agg(F.count(F.lit(1)).alias("count")).select("run_id", F.lit(",".join(group["members"])).alias("signal"), F.lit(f"sync[{i}]").alias("requirement"), "count"))
     size = kept.select("run_id", "signal", "idx").distinct().groupBy("run_id").agg((F.count(F.lit(1)) * SAMPLE_BYTES).alias("bytes")).join(used_bytes, "run_id")
     fits = F.lit(True) if policy.max_size is None else F.col("hard_bytes") <= policy.max_size

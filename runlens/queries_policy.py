@@ -81,6 +81,24 @@ def _(spark, sf):
     return plan.verify_runs(s, plan.compile_runs(s, p), p)
 
 
+@query(
+    "policy_verify_damaged",
+    f"""WITH {EV} SELECT DISTINCT run_id, "check", CASE "check" WHEN 'source.samples' THEN md5(CAST(run_id AS VARCHAR)) < 'c'
+WHEN 'hard.value.global_extrema' THEN md5(CAST(run_id AS VARCHAR)) >= '8' ELSE true END AS ok
+FROM ev, (SELECT unnest(['source.samples', 'hard.value.global_extrema', 'budget.size']) AS "check")""",
+)
+def _(spark, sf):
+    """Some runs have lost the sample of their maximum, others have one that the source has not: both must be told."""
+    s, p = _samples(spark, sf), _policy(max_size="4 KB")
+    compiled = plan.compile_runs(s, p)
+    mark = F.md5(F.col("run_id").cast("string").cast("binary"))
+    lost = compiled.retained.where((F.col("role") == "hard.value.global_extrema#max") & (mark < "8")).select("run_id", "signal", "idx")
+    more = s.where(mark >= "c").groupBy("run_id", "signal").agg((F.max("idx") + 7).cast("long").alias("idx")).withColumn("role", F.lit("soft"))
+    compiled.retained = compiled.retained.join(lost, ["run_id", "signal", "idx"], "left_anti").unionByName(more)
+    found = plan.verify_runs(s, compiled, p)
+    return found.where(F.col("check").isin("source.samples", "hard.value.global_extrema", "budget.size"))
+
+
 @query("policy_events", f"WITH {crossing_sql(EV, 60.0, edge='rising')} SELECT run_id, count(*) AS count, CASE WHEN count(*) = 5 THEN 'pass' ELSE 'warn' END AS status FROM flips WHERE reported GROUP BY run_id")
 def _(spark, sf):
     p = _policy(DOCUMENT.replace("hard:", "events:\n  high: {signal: value, rises_above: 60 m, occurrence: all, expect: 5, keep: {before: 3600, after: 3600, signals: [value]}}\nhard:"))

@@ -97,3 +97,27 @@ def test_detection_survives_retention(frame):
 def test_raising_a_limit_never_adds_time(frame):
     time = lambda v: D.violation(frame, above=v).agg(F.sum(F.col("end") - F.col("start"))).first()[0] or 0.0
     assert time(1.0) >= time(2.0) >= time(4.0) and math.isfinite(time(1.0))
+
+
+def test_no_frame_runs_to_the_end(spark):
+    """Such a frame is gone over again for every row; and a long signal is read in time."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from runlens.functions.aggregates import movmean
+    from runlens.operators.resample import reconstruction_error, resample_linear, sync_groups
+
+    n = 300_000
+    one = spark.range(n).select(F.lit(1).alias("run_id"), F.lit("s").alias("signal"), F.col("id").alias("idx"), (F.col("id") / 10).alias("t"), F.sin(F.col("id") / 1000).alias("x"))
+    grid = spark.range(n).select(F.lit(1).alias("run_id"), (F.col("id") / 10 + 0.05).alias("t"))
+    kept = one.where(F.col("idx") % 100 == 0).select("run_id", "signal", "idx")
+    frames = [resample_linear(one, grid), reconstruction_error(one, kept), movmean(one, 5.0), sync_groups(one, one)]
+    for df in frames:
+        plan = df._jdf.queryExecution().executedPlan().toString().lower()
+        assert "unboundedfollowing" not in plan.replace("unboundedpreceding$(), unboundedfollowing", "")
+    began = time.time()
+    assert frames[0].where("x is not null").count() == n - 1
+    assert frames[1].first().max_error < 0.01  # the last samples have no knot after them
+    assert frames[2].where("mean is not null").count() == n
+    assert time.time() - began < 120

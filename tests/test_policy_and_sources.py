@@ -7,7 +7,7 @@ import pytest
 
 from runlens import api, sinks
 from runlens.functions.expr import Scope, Signal
-from runlens.plans import policy
+from runlens.plans import compile, policy
 from runlens.reqs import batch
 from runlens.sources import signals, tables
 
@@ -44,6 +44,23 @@ def test_budget_keeps_hard_samples_first(spark):
     assert not tight.budget.first().fits
 
 
+@pytest.mark.parametrize("size", [200, 400, 600, 1000, 3000])
+def test_sync_stays_within_the_budget(spark, size):
+    """Two signals on shifted clocks: what a group adds is charged to the preview, and hard samples come with their partners."""
+    rows = [(1, s, i, i + shift, float((i * 7) % 31), None, None) for s, shift in (("a", 0.0), ("b", 0.25)) for i in range(100)]
+    samples = spark.createDataFrame(rows, "run_id int, signal string, idx long, t double, x double, raw string, label string")
+    p = policy.load(f"version: 1\nhard: {{a: {{global_extrema: {{}}}}}}\nsync: [{{members: [a, b]}}]\nbudget: {{max_size: {size} B}}", ["a", "b"], {"a": "m", "b": "m"})
+    out = compile.compile_runs(samples, p)
+    b = out.budget.first()
+    assert b.fits == (b.hard_bytes <= size) and (b.bytes <= size if b.fits else b.bytes == b.hard_bytes)
+    kept = {(r.signal, r.idx) for r in out.retained.collect()}
+    assert b.bytes == 24 * len(kept)
+    quiet = {(r.signal, r.idx) for r in out.retained.where("role in ('extent', 'gap', 'sync')").collect()}
+    loud = {(r.signal, r.idx) for r in out.retained.where("role not in ('extent', 'gap', 'sync')").collect()}
+    partners = {("b", j) for s, i in loud if s == "a" for j in (i - 1, i) if i > 0} | {("a", j) for s, i in loud if s == "b" for j in (i, i + 1) if i < 99}
+    assert kept == loud | partners | quiet and partners <= kept
+
+
 def test_verification_finds_a_lost_sample(spark):
     from pyspark.sql import functions as F
 

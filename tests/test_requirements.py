@@ -24,6 +24,44 @@ def test_limits(text, kind, low, up):
     assert (limit.lower.quantity.value if limit.lower else None, limit.upper.quantity.value if limit.upper else None) == (low, up)
 
 
+FORMS = [
+    ("< 70 kPa", "upper", None, (70, False)), ("=< 70", "upper", None, (70, True)), ("=> 3", "lower", (3, True), None), ("> -3.5e2 V", "lower", (-350, False), None),
+    ("<> 4", "not_equal", (4, True), None), ("= 5 V", "equal", (5, True), None), ("== -1", "equal", (-1, True), None), ("≤70 kPa", "upper", None, (70, True)),
+    ("shall not exceed 9 V", "upper", None, (9, True)), ("no more than 9", "upper", None, (9, True)), ("Greater than or equal to 2", "lower", (2, True), None), ("Maximum 4 mm", "upper", None, (4, True)),
+    ("(1, 2] s", "range", (1, False), (2, True)), ("[1; 2) s", "range", (1, True), (2, False)), ("[-1,2]", "range", (-1, True), (2, True)),
+    ("between 1 s and 2 s", "range", (1, True), (2, True)), ("1 to 2 s", "range", (1, True), (2, True)), ("1 s .. 2 s", "range", (1, True), (2, True)), ("1..2", "range", (1, True), (2, True)),
+    ("1 … 2", "range", (1, True), (2, True)), ("-7 – -3 V", "range", (-7, True), (-3, True)), ("5 — 6", "range", (5, True), (6, True)), ("1.5V to 2 V", "range", (1.5, True), (2, True)),
+    ("± 0.5 deg", "range", (-0.5, True), (0.5, True)), ("10 +/- 2 V", "range", (8, True), (12, True)), ("10 +- 2", "range", (8, True), (12, True)), ("10±2 V", "range", (8, True), (12, True)),
+    ("−4 V", "bare", None, (-4, True)), (".5", "bare", None, (0.5, True)), (7, "bare", None, (7, True)), ("12\u00a0V", "bare", None, (12, True)),
+]
+
+
+@pytest.mark.parametrize("text,kind,low,up", FORMS)
+def test_every_form_of_a_limit(text, kind, low, up):
+    limit = CELLS.limit(text)
+    end = lambda side: side and (side.quantity.value, side.inclusive)
+    assert (limit.kind, end(limit.lower), end(limit.upper)) == (kind, low, up)
+
+
+def test_limits_by_expression_units_and_commas():
+    upper = lambda text, **more: CELLS.limit(text, **more).upper
+    assert upper("curve(q_max, alt)").expr == "curve(q_max, alt)" and upper("<= table(q_max)").expr == "curve(q_max)"
+    assert upper("= 2 * param.limit").expr == "2 * param.limit" and upper("max curve(a, b)").expr == "curve(a, b)"
+    both = CELLS.limit("[curve(low), curve(high, x)]")
+    assert (both.lower.expr, both.upper.expr) == ("curve(low)", "curve(high, x)")
+    assert upper("<= 3", unit="kPa").quantity.unit == "kPa" and upper("<= 3 Pa", unit="kPa").quantity.unit == "Pa"
+    assert CELLS.limit("1 .. 2 V").lower.quantity.unit == "V" and CELLS.limit("1 V to 2").upper.quantity.unit == "V"
+    comma = Cells(decimal_comma=True)
+    assert comma.limit("<= 1,5 V").upper.quantity.value == 1.5 and comma.limit("0,5 .. 1,5").lower.quantity.value == 0.5
+    assert all(CELLS.limit(text) is None for text in (None, "", " - ", "None", "N/A", "—"))
+    m = CELLS.columns("1", "2", "V")
+    assert (m.kind, m.lower.quantity.value, m.upper.quantity.value) == ("range", 1, 2)
+    assert CELLS.columns("1", "n/a").kind == "lower" and CELLS.columns(None, 2).kind == "upper" and CELLS.columns("", "-") is None
+    for bad in ("<= 3 kumquats", "between 3 and 1 V", "5 ± -1 V", ">=", "3 V .. 2 V"):
+        with pytest.raises(LimitError):
+            CELLS.limit(bad)
+
+
 def test_cells_that_cannot_be_read():
     with pytest.raises(LimitError):
         CELLS.limit("[7, -7] deg")
