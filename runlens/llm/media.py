@@ -168,7 +168,7 @@ def digests(docs: DataFrame) -> DataFrame:
 def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """doc_id, n_bytes, digest, shard, offset, length and the metadata columns of every row of documents.
 
-    A null or empty text is stored as one row of blanks. Rows that repeat share a place. A null doc_id stays null. An empty
+    A null or empty text is stored as one row of blanks. A very long text is one payload. Rows that repeat share a place. A null doc_id stays null. An empty
     table gives no rows. Other columns are not read. folder: where shards and index go, a URI that executors share.
     """
     spark = docs.sparkSession
@@ -181,5 +181,6 @@ def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
 
 
 def op9_media(spark, sf_dir: str) -> DataFrame:
+    """Stored form and metadata of every whole text of documents, as media_columns gives them; its cases hold."""
     out = media_columns(documents(spark, sf_dir))
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "shard", "offset", "length")

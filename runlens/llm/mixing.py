@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.llm.common import documents, map_arrow, release, slices, texts
+from runlens.llm.common import documents, free, map_arrow, release, slices, texts
 
 WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
@@ -187,23 +187,25 @@ class Mix:
         """The mix itself, with all columns of docs: for each pass over a document a row with the words that it takes.
 
         A whole pass keeps the text as it is; else runs of taken words are joined by blanks, and the runs by line breaks.
-        n_chars, where there is such a column, is the length of the new text. Column names that begin with `__` are reserved.
+        n_chars, where there is such a column, is the length of the new text. docs may have columns of any names.
         """
-        take = self.taken().where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("a").alias("__a"), F.col("size").alias("__size"), F.col("words").alias("__words"), F.col("takes").alias("__takes"))
-        same = Window.partitionBy("__id", "__h").orderBy("__a")
-        rows = self.docs.withColumn("__key", self.hash)
-        rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "__key").orderBy("__key")))
-        take = take.withColumn("__m", F.row_number().over(same))
-        met = rows.join(take.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__h")) & (F.col("__n") == F.col("__m")))
-        names = self.docs.columns
+        own = ("doc_id", "h", "a", "size", "words", "takes", "turn")
+        names, new_names = self.docs.columns, free(self.docs.columns, *(f"own_{c}" for c in (*own, "key", "count")))
+        own_id, own_h, own_a, own_size, own_words, own_takes, own_turn, key, count = new_names
+        take = self.taken().where("taken > 0").withColumn("turn", F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("a")))
+        take = take.select(*(F.col(c).alias(n) for c, n in zip(own, new_names)))
+        rows = self.docs.withColumn(key, self.hash)
+        rows = rows.withColumn(count, F.row_number().over(Window.partitionBy("doc_id", key).orderBy(key)))
+        met = rows.join(take.hint("merge"), F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(key) == F.col(own_h)) & (F.col(count) == F.col(own_turn)))
+        asked = (own_a, own_size, own_words, own_takes)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "text", 4 << 20):
                     at, new = [], []
-                    takes = zip(*(part.column(c).to_pylist() for c in ("__a", "__size", "__words", "__takes")))
-                    for i, (text, (a, size, block_words, own)) in enumerate(zip(texts(part.column("text")), takes)):
-                        for passed in passes(text, a, size, {x["block"]: x["times"] for x in own}, block_words):
+                    takes = zip(*(part.column(c).to_pylist() for c in asked))
+                    for i, (text, (a, size, block_words, blocks)) in enumerate(zip(texts(part.column("text")), takes)):
+                        for passed in passes(text, a, size, {x["block"]: x["times"] for x in blocks}, block_words):
                             at.append(i)
                             new.append(passed.decode(errors="replace"))
                     out = pa.Table.from_batches([part]).select(names).take(pa.array(at, pa.int64()))
@@ -214,7 +216,7 @@ class Mix:
                     yield from out.to_batches()
                 release()
 
-        return map_arrow(met.select(*names, "__a", "__size", "__words", "__takes"), run, self.docs.schema)
+        return map_arrow(met.select(*names, *asked), run, self.docs.schema)
 
 
 def passes(text: bytes, a: int, size: int, times: dict[int, int], block_words: int) -> Iterator[bytes]:

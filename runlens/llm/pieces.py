@@ -303,7 +303,8 @@ def encode_documents(docs: DataFrame, model: bytes | None = None, others: tuple[
     """doc_id, other columns as asked for, n_tokens, ids (array of int) and decoded: the texts encoded and decoded.
 
     A null or empty text has no ids and decodes to the empty text. Rows that repeat get a row each; a null doc_id stays
-    null. An empty table gives no rows. No other columns are read.
+    null. Bytes that are no UTF-8 become replacement characters. A very long text is encoded whole. An empty table gives no
+    rows. No other columns are read; `others` must not be named ids, n_tokens or decoded.
     """
     model = model or default_model()
 
@@ -311,7 +312,7 @@ def encode_documents(docs: DataFrame, model: bytes | None = None, others: tuple[
         own = codec(model)
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                spelled = [own.spell(x.decode()) for x in texts(part.column("text"))]
+                spelled = [own.spell(x.decode(errors="replace")) for x in texts(part.column("text"))]
                 sizes = [joined.count(_COMMA) + 1 if joined else 0 for joined, _ in spelled]
                 flat = np.array(_COMMA.join([joined for joined, _ in spelled if joined]).split(_COMMA) if any(sizes) else [], dtype=np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(flat, pa.int32()))
@@ -331,7 +332,7 @@ def digest_documents(docs: DataFrame, model: bytes | None = None) -> DataFrame:
         own = codec(model)
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
-                found = [own.digest(x.decode()) for x in texts(part.column("text"))]
+                found = [own.digest(x.decode(errors="replace")) for x in texts(part.column("text"))]
                 n, ids, plain = zip(*found)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(plain, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -339,4 +340,5 @@ def digest_documents(docs: DataFrame, model: bytes | None = None) -> DataFrame:
 
 
 def op1_pieces(spark, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every whole text of documents, as digests; the cases of encode_documents hold."""
     return digest_documents(documents(spark, sf_dir))

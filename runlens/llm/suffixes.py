@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import documents, even_keys, keyed, release
+from runlens.llm.common import documents, even_keys, free, keyed, release
 from runlens.session import ship
 
 LENGTH = 50
@@ -418,7 +418,8 @@ def dedup(docs: DataFrame, replace_text: bool = False) -> DataFrame:
 
     A null or empty text has no bytes and stays as it is. A null doc_id counts as larger than all others. Rows with one
     doc_id are no duplicates of each other, but each of them of a smaller doc_id. The kept text drops the rest of a code
-    point that a cut has left behind. An empty table gives no rows. Column names that begin with `__` are reserved.
+    point that a cut has left behind. Rows that tie in all of that lose nothing to each other. A very long text is a run of
+    its own and is judged whole. An empty table gives no rows. docs may have columns of any names.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -427,8 +428,9 @@ def dedup(docs: DataFrame, replace_text: bool = False) -> DataFrame:
     columns = docs.columns if replace_text else ["doc_id", "text"]
     key = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
     keys = even_keys(spark, runs)  # of runs and of buckets
-    placed = docs.select(keyed(keys, F.pmod(key, F.lit(runs))).alias("__run"), *columns).repartition(runs, "__run")
-    by_run = placed.groupBy("__run")
+    own = free(docs.columns, "own_run")[0]
+    placed = docs.select(keyed(keys, F.pmod(key, F.lit(runs))).alias(own), *columns).repartition(runs, own)
+    by_run = placed.groupBy(own)
     blobs, answer = "bucket long, run long, blob binary", "run long, blob binary"
     sent = by_run.applyInArrow(lambda k, t: _send_hashes(k[0].as_py(), t, keys), blobs)
     several = sent.repartition(runs, "bucket").groupBy("bucket").applyInArrow(_answer, answer)
@@ -444,7 +446,7 @@ def dedup(docs: DataFrame, replace_text: bool = False) -> DataFrame:
         table, texts, removed, kept, _ = _cut_out(table, answers)
         same = table.column("text").cast(pa.string()).to_pylist()
         text = [x.decode(errors="ignore") if n else old for x, n, old in zip(kept, removed, same)]
-        table = table.drop_columns(["__run"])
+        table = table.drop_columns([own])
         return table.set_column(table.schema.get_field_index("text"), "text", pa.array(text, pa.string()))
 
     back = by_run.cogroup(spans.groupBy("run"))
@@ -454,4 +456,5 @@ def dedup(docs: DataFrame, replace_text: bool = False) -> DataFrame:
 
 
 def op2_suffixes(spark, sf_dir: str) -> DataFrame:
+    """What every whole text of documents keeps, as `dedup` gives it; its cases hold."""
     return dedup(documents(spark, sf_dir))
