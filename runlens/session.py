@@ -36,12 +36,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`; in local mode (tests) a temporary one where it is unset."""
     context = spark.sparkContext
     known = context._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     path = named or f"file://{tempfile.mkdtemp(prefix='runlens-checkpoint-')}"
     context.setCheckpointDir(path)
     return context._jsc.sc().getCheckpointDir().get()
