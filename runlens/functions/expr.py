@@ -99,13 +99,13 @@ def tokens(text: str, units: Units) -> str:
 
 
 class Compiler:
-    def __init__(self, scope: Scope):
-        self.scope = scope
+    def __init__(self, scope: Scope, prefix: str = ""):
+        self.scope, self.prefix = scope, prefix
         self._open: list[str] = []
         self.kept: dict[str, Column] = {}  # window columns to add first, in this order: windows don't nest
 
     def _keep(self, column: Column) -> Column:
-        name = f"w{len(self.kept)}_"
+        name = f"w{self.prefix}{len(self.kept)}_"
         self.kept[name] = column
         return F.col(name)
 

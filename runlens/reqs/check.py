@@ -1,9 +1,11 @@
 """Verdicts of requirements over all runs at once.
 
-A requirement becomes one plan over the wide frame of the runs (run_id, idx, t, signals, `e_<event>` arrays, parameters):
-each sample is claimed by the first case whose condition holds, its excess over the limit is a column, violations are
-islands of that column, and everything ends in one row for each run. A requirement that can't be bound is an `error` row
-for each run and stops no other.
+All requirements go through one plan over the wide frame of the runs (run_id, idx, t, signals, `e_<event>` arrays,
+parameters). Each sample is claimed by the first case whose condition holds, and its excess over the limit becomes a track:
+a row for each sample and requirement, made behind the one exchange by run. Violations are islands of a track, and everything
+ends in one row for each run and requirement. Numbers, times of conditions and events take one aggregate by run for all of
+them. So the number of exchanges doesn't grow with the number of requirements. A requirement that can't be bound is an `error`
+row for each run and stops no other.
 """
 
 from __future__ import annotations
@@ -23,6 +25,10 @@ from runlens.reqs.table import AGGREGATE_KINDS, Requirement
 VERDICTS = ("fail", "error", "warn", "pass", "not_applicable")  # the worst first
 RESULT = "run_id, id string, kind string, verdict string, reason string, value double, limit double, margin double, margin_pct double, at double, case string, runs long, violating_time double, tolerated long, first_violation double, active_time double, gap_time double"
 
+_TYPES = dict(x.rsplit(" ", 1) for x in RESULT.split(", ")[1:])
+_CLOCK = ("run_id", "idx", "t", "before_ AS pt", "after_ AS nt")
+_ROW = "struct<" + ", ".join(f"{n}: {t}" for n, t in _TYPES.items()) + ">"
+
 
 @dataclass
 class Rules:
@@ -71,8 +77,9 @@ class Checker:
         self.cells = Cells(scope.units)
 
     # -- binding
-    def bind(self, req: Requirement) -> Plan:
-        c = Compiler(self.scope)
+    def bind(self, req: Requirement, number: int = 0) -> Plan:
+        """The columns of a requirement; number: keeps its window columns apart from those of others in one frame."""
+        c = Compiler(self.scope, f"{number}_")
         name = req.check.partition("#")[0].strip("'\" ")
         if req.kind in (None, "event") and name in self.scope.events:
             return Plan(req, "event", c, None, [self._case(k, c, None, req, "event") for k in req.cases])
@@ -146,19 +153,36 @@ class Checker:
         return kind, self._side(low, c, unit), self._side(up, c, unit), low is not None and not low.inclusive, up is not None and not up.inclusive
 
     # -- evaluation
+    def one(self, req: Requirement) -> DataFrame:
+        return self.check([req])
+
     def check(self, reqs: list[Requirement]) -> DataFrame:
         """A row for each run and requirement, in the columns of RESULT."""
-        return reduce(DataFrame.unionByName, [self.one(r) for r in reqs])
+        plans, rows = [], []
+        for i, req in enumerate(reqs):
+            try:
+                plans.append(self.bind(req, i))
+            except (ExprError, UnitError, LimitError) as e:
+                rows.append(self._row(req.id, kind=F.lit(req.kind or ""), verdict=F.lit("error"), reason=F.lit(str(e))))
+        of = lambda *kinds: [p for p in plans if p.kind in kinds]
+        out = []
+        if of("bound", "assert"):
+            out.append(self._series(of("bound", "assert")))
+        values, durations = of("value"), of("duration")
+        runs = self._runs(values)
+        if durations:
+            runs = runs.join(self._durations(durations), "run_id", "left")
+        rows += [self._value(p, i) for i, p in enumerate(values)]
+        rows += [self._duration(p, i) for i, p in enumerate(durations)]
+        rows += [self._event(p) for p in of("event")]
+        if rows or not out:
+            out.append(runs.select("run_id", F.inline(F.array(*rows).cast(f"array<{_ROW}>"))))
+        return reduce(DataFrame.unionByName, out)
 
-    def one(self, req: Requirement) -> DataFrame:
-        try:
-            plan = self.bind(req)
-            out = {"bound": self._series, "assert": self._series, "value": self._value, "duration": self._duration, "event": self._event}[plan.kind](plan)
-        except (ExprError, UnitError, LimitError) as e:
-            out = self.frame.select("run_id").distinct().withColumn("kind", F.lit(req.kind or "")).withColumn("verdict", F.lit("error")).withColumn("reason", F.lit(str(e)))
-        out = out.withColumn("id", F.lit(req.id))
-        types = dict(x.rsplit(" ", 1) for x in RESULT.split(", ")[1:])
-        return out.select("run_id", *[(F.col(n) if n in out.columns else F.lit(None)).cast(t).alias(n) for n, t in types.items()])
+    @staticmethod
+    def _row(id_: str, **values: Column) -> Column:
+        """A result without its run, as a struct."""
+        return F.struct(*[(F.lit(id_) if n == "id" else values.get(n, F.lit(None))).cast(t).alias(n) for n, t in _TYPES.items()])
 
     def claims(self, plan: Plan) -> tuple[Column, Column]:
         """The case of a sample, the first one that holds; and how many hold."""
@@ -169,100 +193,142 @@ class Checker:
             which, held = F.when(on, F.lit(i)).otherwise(which), held + on.cast("int")
         return which, held
 
-    def _pick(self, plan: Plan, value) -> Column:
+    @staticmethod
+    def _pick(plan: Plan, claim: str, value) -> Column:
         """A column or number of the claiming case."""
         out = F.lit(None)
         for i, b in enumerate(plan.cases):
             v = value(b)
-            out = F.when(F.col("claim") == i, v if isinstance(v, Column) else F.lit(v)).otherwise(out)
+            out = F.when(F.col(claim) == i, v if isinstance(v, Column) else F.lit(v)).otherwise(out)
+        return out
+
+    def _clock(self, plans: list[Plan]) -> DataFrame:
+        """The frame with the window columns of the plans and the times before and after each sample: one exchange by run."""
+        d, w = self.frame, Window.partitionBy("run_id").orderBy("idx")
+        for p in plans:
+            d = p.compiler.prepare(d)
+        return d.withColumn("before_", F.lag("t").over(w)).withColumn("after_", F.lead("t").over(w))
+
+    @staticmethod
+    def _unknown(plan: Plan) -> Column:
+        return reduce(lambda a, b: a | b, [b.when.isNull() for b in plan.cases if b.when is not None], F.lit(False))
+
+    def tracks(self, plans: list[Plan]) -> DataFrame:
+        """A row for each sample and plan: req, its claim, excess e and whether it violates; null without a claim or a value.
+
+        part 1 are the rows of the warning margins, for the plans that have some.
+        """
+        d = self._clock(plans)
+        first, second = {}, {}
+        for i, p in enumerate(plans):
+            first[f"claim{i}_"], first[f"held{i}_"] = self.claims(p)
+            x = p.check.column
+            if p.kind == "assert":
+                first[f"x{i}_"] = x
+            else:
+                first[f"x{i}_"] = F.when(x.isNotNull() & ~F.isnan(x), x).cast("double")
+                second[f"u{i}_"], second[f"l{i}_"] = (self._pick(p, f"claim{i}_", end).cast("double") for end in (lambda b: b.upper, lambda b: b.lower))
+        d = d.withColumns(first)
+        d = d.withColumns(second) if second else d
+        out = [t for i, p in enumerate(plans) for t in self._track(p, i)]
+        return d.select(*map(F.expr, _CLOCK), F.inline(F.array(*out)))
+
+    def _track(self, p: Plan, i: int) -> list[Column]:
+        claim, x = f"claim{i}_", F.col(f"x{i}_")
+        none, pick = F.lit(None).cast("double"), lambda value: self._pick(p, claim, value)
+
+        def row(part: int, e: Column, hit: Column, value: Column = none, bound: Column = none, unknown: Column = F.lit(False)) -> Column:
+            return F.struct(
+                F.lit(i).alias("req"), F.lit(part).alias("part"), F.col(claim).alias("claim"), F.col(f"held{i}_").alias("held"), unknown.alias("unknown"), F.lit(p.check.discrete).alias("discrete"),
+                x.isNotNull().alias("fin"), value.alias("x"), bound.alias("bound"), e.alias("e"), F.coalesce(hit, F.lit(False)).alias("viol"),
+                pick(lambda b: float(b.tol_s)).cast("double").alias("tol_s"), pick(lambda b: int(b.tol_n)).cast("long").alias("tol_n"),
+            )
+
+        if p.kind == "assert":
+            e = F.when(F.col(claim).isNotNull() & x.isNotNull(), F.when(x, F.lit(-1.0)).otherwise(1.0))
+            return [row(0, e, e > 0, unknown=self._unknown(p))]
+        u, low = F.col(f"u{i}_"), F.col(f"l{i}_")
+        eu, el = x - u, low - x
+        viol = (eu > 0) | (el > 0) | (pick(lambda b: b.strict_up) & (eu == 0)) | (pick(lambda b: b.strict_low) & (el == 0))
+        bound = F.when(el.isNull() | (eu >= el), u).otherwise(low)
+        out = [row(0, F.greatest(eu, el), viol, x, bound)]
+        if any(b.margin_abs is not None or b.margin_rel is not None for b in p.cases):
+            margin = lambda c: pick(lambda b: F.lit(b.margin_abs) if b.margin_abs is not None else F.abs(c) * b.margin_rel if b.margin_rel is not None else F.lit(None)).cast("double")
+            we = F.greatest(eu + margin(u), el + margin(low))
+            out.append(row(1, we, we > 0, x, bound))
         return out
 
     def excess(self, plan: Plan) -> DataFrame:
-        """Samples with their claim, excess e and warning excess we; null where there is no claim or no value."""
-        which, held = self.claims(plan)
-        d = plan.compiler.prepare(self.frame)
-        if plan.kind == "assert":
-            d = d.select("run_id", "idx", "t", which.alias("claim"), held.alias("held"), plan.check.column.alias("ok"), *self._unknown(plan))
-            e = F.when(F.col("claim").isNotNull() & F.col("ok").isNotNull(), F.when(F.col("ok"), F.lit(-1.0)).otherwise(1.0))
-            none = F.lit(None).cast("double")
-            d = d.select("*", F.lit(plan.check.discrete).alias("discrete"), F.col("ok").isNotNull().alias("fin"), none.alias("x"), none.alias("bound"), e.alias("e"), none.alias("we"), (e > 0).alias("viol"), F.lit(False).alias("wviol"))
-        else:
-            x = plan.check.column
-            d = d.withColumn("claim", which).withColumn("held", held).withColumn("x_", F.when(x.isNotNull() & ~F.isnan(x), x))
-            d = d.withColumn("u_", self._pick(plan, lambda b: b.upper).cast("double")).withColumn("l_", self._pick(plan, lambda b: b.lower).cast("double"))
-            su, sl = self._pick(plan, lambda b: b.strict_up), self._pick(plan, lambda b: b.strict_low)
-            eu, el = F.col("x_") - F.col("u_"), F.col("l_") - F.col("x_")
-            margin = lambda c: self._pick(plan, lambda b: F.lit(b.margin_abs) if b.margin_abs is not None else F.abs(c) * b.margin_rel if b.margin_rel is not None else F.lit(None)).cast("double")
-            viol = (eu > 0) | (el > 0) | (su & (eu == 0)) | (sl & (el == 0))
-            we = F.greatest(eu + margin(F.col("u_")), el + margin(F.col("l_")))
-            bound = F.when(el.isNull() | (eu >= el), F.col("u_")).otherwise(F.col("l_"))
-            d = d.select("run_id", "idx", "t", "claim", "held", *self._unknown(plan), F.lit(plan.check.discrete).alias("discrete"), F.col("x_").isNotNull().alias("fin"), F.col("x_").alias("x"), bound.alias("bound"), F.greatest(eu, el).alias("e"), we.alias("we"), F.coalesce(viol, F.lit(False)).alias("viol"), F.coalesce(we > 0, F.lit(False)).alias("wviol"))
-        return d.withColumn("tol_s", self._pick(plan, lambda b: float(b.tol_s)).cast("double")).withColumn("tol_n", self._pick(plan, lambda b: int(b.tol_n)).cast("long"))
+        """The track of one plan, without its warnings."""
+        return self.tracks([plan]).where("part = 0")
 
     @staticmethod
-    def _unknown(plan: Plan) -> list[Column]:
-        out = F.lit(False)
-        for b in plan.cases:
-            if b.when is not None:
-                out = out | b.when.isNull()
-        return [out.alias("unknown")]
-
-    def violations(self, d: DataFrame, hit: str = "viol", e: str = "e") -> DataFrame:
-        """Islands of violating samples: start, end, samples, worst place, tolerated."""
-        w = Window.partitionBy("run_id").orderBy("idx")
-        d = d.withColumn("pe", F.lag(e).over(w)).withColumn("pt", F.lag("t").over(w)).withColumn("ne", F.lead(e).over(w)).withColumn("nt", F.lead("t").over(w))
-        begins = F.col(hit) & ~F.coalesce(F.lag(hit).over(w), F.lit(False))
-        d = d.withColumn("island", F.sum(begins.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where(hit)
+    def _islands(d: DataFrame) -> DataFrame:
+        """Tracks with the number of their island (0 outside) and the times s_ and z_ at which one would start and end here."""
+        w = Window.partitionBy("run_id", "req", "part").orderBy("idx")
+        d = d.withColumn("pe", F.lag("e").over(w)).withColumn("ne", F.lead("e").over(w)).withColumn("was", F.coalesce(F.lag("viol").over(w), F.lit(False)))
+        begun = F.sum((F.col("viol") & ~F.col("was")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
         zero = F.lit(0.0)
-        start = F.when(F.col("discrete") | F.col("pe").isNull(), F.col("t")).otherwise(level_time(F.col("pt"), F.col("t"), F.col("pe"), F.col(e), zero))
-        end = F.when(F.col("discrete"), F.coalesce("nt", "t")).when(F.col("ne").isNull(), F.col("t")).otherwise(level_time(F.col("t"), F.col("nt"), F.col(e), F.col("ne"), zero))
-        g = d.withColumn("s_", start).withColumn("z_", end).groupBy("run_id", "island").agg(
-            F.min(F.struct("idx", "s_")).alias("s"), F.max(F.struct("idx", "z_")).alias("z"), F.count(F.lit(1)).alias("samples"), F.max(F.struct(F.col(e).alias("e"), (-F.col("idx")).alias("i"), "claim", "t", "x", "bound")).alias("w"), F.min("tol_s").alias("tol_s"), F.min("tol_n").alias("tol_n"),
-        )
-        g = g.select("run_id", F.col("s.s_").alias("start"), F.col("z.z_").alias("end"), "samples", F.col("w.claim").alias("claim"), F.col("w.t").alias("worst_t"), F.col("w.x").alias("worst_value"), F.col("w.bound").alias("limit"), F.col("w.e").alias("excess"), "tol_s", "tol_n")
-        length = F.col("end") - F.col("start")
-        return g.withColumn("duration", length).withColumn("tolerated", ((F.col("tol_s") > 0) & (length <= F.col("tol_s"))) | (F.col("samples") <= F.col("tol_n"))).drop("tol_s", "tol_n")
-
-    def _series(self, plan: Plan) -> DataFrame:
-        d = self.excess(plan)
-        w = Window.partitionBy("run_id").orderBy("idx")
-        claimed = F.col("claim").isNotNull()
-        dt = F.lead("t").over(w) - F.col("t")
-        bad = (claimed & ~F.col("fin")) | (F.col("unknown") & ~claimed if plan.kind == "assert" else F.lit(False))
-        region = claimed | (F.col("unknown") if plan.kind == "assert" else F.lit(False))
-        t = d.withColumn("bad", bad).withColumn("region", region).withColumn("claimed", claimed).withColumn("dt", dt)
-        t = t.withColumn("next_bad", F.lead("bad").over(w)).withColumn("next_region", F.lead("region").over(w)).withColumn("next_claimed", F.lead("claimed").over(w)).withColumn("next_held", F.lead("held").over(w))
+        start = F.when(F.col("discrete") | F.col("pe").isNull(), F.col("t")).otherwise(level_time(F.col("pt"), F.col("t"), F.col("pe"), F.col("e"), zero))
+        end = F.when(F.col("discrete"), F.coalesce("nt", "t")).when(F.col("ne").isNull(), F.col("t")).otherwise(level_time(F.col("t"), F.col("nt"), F.col("e"), F.col("ne"), zero))
+        return d.withColumn("island", F.when(F.col("viol"), begun).otherwise(0)).withColumn("s_", start).withColumn("z_", end)
+
+    @staticmethod
+    def _extent(g: DataFrame) -> DataFrame:
+        """Length of an island and whether it is short enough to be tolerated."""
+        g = g.withColumn("start", F.col("s.s_")).withColumn("end", F.col("z.z_")).withColumn("duration", F.col("end") - F.col("start"))
+        short = (F.col("tol_s") > 0) & (F.col("duration") <= F.col("tol_s"))
+        return g.withColumn("tolerated", short | (F.col("samples") <= F.col("tol_n"))).drop("s", "z", "tol_s", "tol_n")
+
+    def _ends(self) -> list[Column]:
+        return [F.min(F.struct("idx", "s_")).alias("s"), F.max(F.struct("idx", "z_")).alias("z"), F.count(F.lit(1)).alias("samples"), F.min("tol_s").alias("tol_s"), F.min("tol_n").alias("tol_n")]
+
+    def violations(self, d: DataFrame) -> DataFrame:
+        """Islands of violating samples of tracks: start, end, samples, worst place, tolerated."""
+        worst = F.max(F.struct("e", (-F.col("idx")).alias("i"), "claim", "t", "x", "bound")).alias("w")
+        g = self._extent(self._islands(d).where("viol").groupBy("run_id", "req", "part", "island").agg(*self._ends(), worst))
+        return g.select("run_id", "req", "part", "start", "end", "samples", F.col("w.claim").alias("claim"), F.col("w.t").alias("worst_t"), F.col("w.x").alias("worst_value"), F.col("w.bound").alias("limit"), F.col("w.e").alias("excess"), "duration", "tolerated")
+
+    def _series(self, plans: list[Plan]) -> DataFrame:
+        w = Window.partitionBy("run_id", "req", "part").orderBy("idx")
+        claimed, unknown = F.col("claim").isNotNull(), F.col("unknown")
+        d = self._islands(self.tracks(plans)).withColumn("claimed", claimed).withColumn("region", claimed | unknown)
+        d = d.withColumn("bad", (claimed & ~F.col("fin")) | (unknown & ~claimed)).withColumn("dt", F.col("nt") - F.col("t"))
+        for name in ("bad", "region", "claimed", "held"):
+            d = d.withColumn(f"next_{name}", F.lead(name).over(w))
         usable = F.col("claimed") & F.col("fin")
-        head = F.max(F.when(usable & F.col("e").isNotNull(), F.struct("e", (-F.col("idx")).alias("i"), "x", "bound", "t", "claim"))).alias("w")
-        runs = t.groupBy("run_id").agg(
-            head, F.count_if(usable).alias("usable"), F.count_if("claimed").alias("claims"),
-            F.coalesce(F.sum(F.when(F.col("claimed") & (F.col("discrete") | F.col("next_claimed")), F.col("dt"))), F.lit(0.0)).alias("active_time"),
-            F.coalesce(F.sum(F.when((F.col("bad") | F.col("next_bad")) & F.col("region") & F.col("next_region"), F.col("dt"))), F.lit(0.0)).alias("gap_time"),
-            F.coalesce(F.sum(F.when((F.col("held") > 1) & (F.col("next_held") > 1), F.col("dt"))), F.lit(0.0)).alias("overlap_time"),
+        time = lambda hit: F.coalesce(F.sum(F.when(hit, F.col("dt"))), F.lit(0.0))
+        # samples outside islands are the group 0 of their track; what belongs to the whole track is added up over its groups
+        g = d.groupBy("run_id", "req", "part", "island").agg(
+            *self._ends(), F.max(F.when(usable & F.col("e").isNotNull(), F.struct("e", (-F.col("idx")).alias("i"), "x", "bound", "t", "claim"))).alias("w"),
+            F.count_if(usable).alias("usable"), F.count_if("claimed").alias("claims"), time(F.col("claimed") & (F.col("discrete") | F.col("next_claimed"))).alias("active_time"),
+            time((F.col("bad") | F.col("next_bad")) & F.col("region") & F.col("next_region")).alias("gap_time"), time((F.col("held") > 1) & (F.col("next_held") > 1)).alias("overlap_time"),
         )
-        v = self.violations(d).groupBy("run_id").agg(F.count_if(~F.col("tolerated")).alias("runs"), F.sum(F.when(~F.col("tolerated"), F.col("duration"))).alias("violating_time"), F.count_if("tolerated").alias("tolerated"), F.min(F.when(~F.col("tolerated"), F.col("start"))).alias("first_violation"))
-        out = runs.join(v, "run_id", "left")
-        if plan.kind == "bound" and any(b.margin_abs is not None or b.margin_rel is not None for b in plan.cases):
-            out = out.join(self.violations(d, "wviol", "we").groupBy("run_id").agg(F.count_if(~F.col("tolerated")).alias("warned")), "run_id", "left")
-        else:
-            out = out.withColumn("warned", F.lit(0))
-        n = lambda c: F.coalesce(F.col(c), F.lit(0))
-        gap, tolerated, overlap = n("gap_time") > 0, n("tolerated") > 0, n("overlap_time") > 0
-        rules = self.rules
-        fail = (n("runs") > 0) | (gap if rules.on_gap == "fail" else F.lit(False))
-        warn = (n("warned") > 0) | (gap if rules.on_gap == "warn" else F.lit(False)) | (tolerated if rules.on_tolerated == "warn" else F.lit(False))
-        error = overlap if rules.on_case_overlap == "error" else F.lit(False)
-        none = F.col("usable") == 0
-        verdict = F.when(error & ~fail, "error").when(none, "not_applicable").when(fail, "fail").when(warn, "warn").otherwise("pass")
-        reason = F.when(none & (F.col("claims") == 0), "the condition never holds").when(none, "no data while the condition holds").when(n("runs") > 0, "condition failed" if plan.kind == "assert" else "limit exceeded").when(gap & (verdict != "pass"), "data gap").when(n("warned") > 0, "inside the warning margin")
-        labels = F.array(*[F.lit(b.label or str(i + 1)) for i, b in enumerate(plan.cases)])
-        margin = F.when(F.col("w.e") == 0, F.lit(0.0)).otherwise(-F.col("w.e"))
-        is_assert = plan.kind == "assert"
-        return out.select(
-            "run_id", F.lit(plan.kind).alias("kind"), verdict.alias("verdict"), reason.alias("reason"), F.col("w.x").alias("value"), F.col("w.bound").alias("limit"), (F.lit(None) if is_assert else margin).alias("margin"),
-            (F.lit(None) if is_assert else margin / F.nullif(F.abs(F.col("w.bound")), F.lit(0.0))).alias("margin_pct"), F.when(~none, F.col("first_violation") if is_assert else F.col("w.t")).alias("at"), F.get(labels, F.col("w.claim")).alias("case"),
-            n("runs").alias("runs"), F.coalesce("violating_time", F.lit(0.0)).alias("violating_time"), n("tolerated").alias("tolerated"), "first_violation", "active_time", "gap_time",
+        g = self._extent(g)
+        own, hit = F.col("part") == 0, F.col("island") > 0
+        counted = own & hit & ~F.col("tolerated")
+        total = lambda c: F.sum(F.when(own, F.col(c))).alias(c)
+        out = g.groupBy("run_id", "req").agg(
+            F.max(F.when(own, F.col("w"))).alias("w"), *[total(c) for c in ("usable", "claims", "active_time", "gap_time", "overlap_time")], F.count_if(counted).alias("runs"),
+            F.coalesce(F.sum(F.when(counted, F.col("duration"))), F.lit(0.0)).alias("violating_time"), F.count_if(own & hit & F.col("tolerated")).alias("tolerated"),
+            F.min(F.when(counted, F.col("start"))).alias("first_violation"), F.count_if((F.col("part") == 1) & hit & ~F.col("tolerated")).alias("warned"),
         )
+        known = F.array(*[F.struct(F.lit(p.req.id).alias("id"), F.lit(p.kind).alias("kind"), F.array(*[F.lit(b.label or str(i + 1)) for i, b in enumerate(p.cases)]).alias("labels")) for p in plans])
+        out = out.withColumn("known", F.get(known, F.col("req")))
+        gap, rules, never = F.col("gap_time") > 0, self.rules, F.lit(False)
+        fail = (F.col("runs") > 0) | (gap if rules.on_gap == "fail" else never)
+        warn = (F.col("warned") > 0) | (gap if rules.on_gap == "warn" else never) | (F.col("tolerated") > 0 if rules.on_tolerated == "warn" else never)
+        error = F.col("overlap_time") > 0 if rules.on_case_overlap == "error" else never
+        none, is_assert = F.col("usable") == 0, F.col("known.kind") == "assert"
+        verdict = F.when(error & ~fail, "error").when(none, "not_applicable").when(fail, "fail").when(warn, "warn").otherwise("pass")
+        exceeded = F.when(is_assert, "condition failed").otherwise("limit exceeded")
+        reason = F.when(none & (F.col("claims") == 0), "the condition never holds").when(none, "no data while the condition holds").when(F.col("runs") > 0, exceeded).when(gap & (verdict != "pass"), "data gap").when(F.col("warned") > 0, "inside the warning margin")
+        margin = F.when(~is_assert, F.when(F.col("w.e") == 0, F.lit(0.0)).otherwise(-F.col("w.e")))
+        columns = {
+            "id": F.col("known.id"), "kind": F.col("known.kind"), "verdict": verdict, "reason": reason, "value": F.col("w.x"), "limit": F.col("w.bound"), "margin": margin, "margin_pct": margin / F.nullif(F.abs(F.col("w.bound")), F.lit(0.0)),
+            "at": F.when(~none, F.when(is_assert, F.col("first_violation")).otherwise(F.col("w.t"))), "case": F.get(F.col("known.labels"), F.col("w.claim")),
+        }
+        return out.select("run_id", *[columns.get(n, F.col(n) if n in out.columns else F.lit(None)).cast(t).alias(n) for n, t in _TYPES.items()])
 
     def compare(self, value: Column, b: Bound) -> tuple[Column, Column, Column]:
         """Verdict, limit and margin of one number against one limit."""
@@ -282,65 +348,81 @@ class Checker:
         margin = F.when(e == 0, F.lit(0.0)).otherwise(-e)
         return F.when(fail, "fail").when(e + top["m"] > 0, "warn").otherwise("pass"), top["bound"], margin
 
-    def _cases(self, frame: DataFrame, plan: Plan, values: list[Column]) -> DataFrame:
-        """One headline for each run from the cases' numbers: failing ones first, then the least margin."""
+    def _runs(self, values: list[Plan]) -> DataFrame:
+        """A row for each run: parameters, events, and the numbers v<plan>_<case> of the plans."""
+        d = self.frame
+        for p in values:
+            d = p.compiler.prepare(d)
+        keep = list(dict.fromkeys(c for c in self.frame.columns if c.startswith(("e_", "p_")) or c in self.scope.params.values()))
+        numbers = {f"v{i}_{j}": b.value.column for i, p in enumerate(values) for j, b in enumerate(p.cases)}
+        g = d.select("run_id", *keep, *[v.alias(n) for n, v in numbers.items()]).groupBy("run_id")
+        kept = [F.first(c, ignorenulls=True).alias(c) for c in (*keep, *numbers)]
+        return g.agg(*kept) if kept else g.agg(F.count(F.lit(1)).alias("samples_"))
+
+    def _best(self, plan: Plan, rows: list[Column], **more: Column) -> Column:
+        """One headline for each run from the cases: failing ones first, then the least margin."""
+        best = F.array_min(F.array(*rows))
+        got = {n: best[n] for n in ("verdict", "value", "limit", "margin")} | {"margin_pct": best["margin"] / F.nullif(F.abs(best["limit"]), F.lit(0.0)), "case": F.nullif(best["case"], F.lit(""))}
+        return self._row(plan.req.id, kind=F.lit(plan.kind), **got | more)
+
+    @staticmethod
+    def _ranked(b: Bound, verdict: Column, value: Column, bound: Column, margin: Column) -> Column:
+        rank = F.when(verdict == "fail", 0).when(verdict == "warn", 2).when(verdict == "pass", 3).otherwise(4)
+        return F.struct(rank.alias("rank"), F.coalesce(margin, F.lit(float("inf"))).alias("least"), verdict.alias("verdict"), value.alias("value"), bound.alias("limit"), margin.alias("margin"), F.lit(b.label).alias("case"))
+
+    @staticmethod
+    def _applies(b: Bound) -> Column:
+        return F.coalesce(b.applies, F.lit(False)) if b.applies is not None else F.lit(True)
+
+    def _numbers(self, plan: Plan, values: list[Column], **more: Column) -> Column:
         rows = []
         for b, value in zip(plan.cases, values):
-            applies = F.coalesce(b.applies, F.lit(False)) if b.applies is not None else F.lit(True)
             verdict, bound, margin = self.compare(value, b)
-            verdict = F.when(~applies | value.isNull(), "not_applicable").otherwise(verdict)
-            rank = F.when(verdict == "fail", 0).when(verdict == "warn", 2).when(verdict == "pass", 3).otherwise(4)
-            rows.append(F.struct(rank.alias("rank"), F.coalesce(margin, F.lit(float("inf"))).alias("least"), verdict.alias("verdict"), F.when(applies, value).alias("value"), bound.alias("limit"), margin.alias("margin"), F.lit(b.label).alias("case")))
-        best = F.array_min(F.array(*rows))
-        d = frame.withColumn("best", best)
-        return d.select(*[c for c in frame.columns], F.lit(plan.kind).alias("kind"), F.col("best.verdict").alias("verdict"), F.col("best.value").alias("value"), F.col("best.limit").alias("limit"), F.col("best.margin").alias("margin"), (F.col("best.margin") / F.nullif(F.abs(F.col("best.limit")), F.lit(0.0))).alias("margin_pct"), F.nullif(F.col("best.case"), F.lit("")).alias("case"))
-
-    def _value(self, plan: Plan) -> DataFrame:
-        d = plan.compiler.prepare(self.frame)
-        values = {f"v{i}_": b.value.column for i, b in enumerate(plan.cases)}
-        keep = [c for c in d.columns if c.startswith(("e_", "p_")) or c in self.scope.params.values()]
-        g = d.select("run_id", *keep, *[v.alias(n) for n, v in values.items()]).groupBy("run_id").agg(*[F.first(c, ignorenulls=True).alias(c) for c in (*keep, *values)])
-        return self._cases(g, plan, [F.when(F.isnan(n), None).otherwise(F.col(n)) for n in values]).drop(*keep, *values)
-
-    def _duration(self, plan: Plan) -> DataFrame:
-        """Time in which a condition holds; a comparison of series counts from crossing to crossing."""
-        keep = list(dict.fromkeys(self.scope.params.values()))
-        totals = None
-        for i, b in enumerate(plan.cases):
-            d = plan.compiler.prepare(self.frame)
-            active = F.coalesce(b.when, F.lit(False)) if b.when is not None else F.lit(True)
-            c = plan.check.comparison
-            if c and c[1] in ("<", "<=", ">", ">=") and not plan.check.discrete:
-                e = c[0].column - c[2].column if c[1] in (">", ">=") else c[2].column - c[0].column
-                hit = e >= 0 if c[1] in (">=", "<=") else e > 0
-            else:
-                e = F.when(plan.check.column, 1.0).when(~plan.check.column, -1.0)
-                hit = e > 0
-            s = d.select("run_id", "idx", "t", F.when(active, e).alias("e"), F.coalesce(active & hit, F.lit(False)).alias("viol"), F.lit(plan.check.discrete).alias("discrete"), F.lit(0).alias("claim"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("bound"), F.lit(0.0).alias("tol_s"), F.lit(0).alias("tol_n"))
-            v = self.violations(s).groupBy("run_id").agg(F.sum("duration").alias(f"v{i}_"), F.count(F.lit(1)).alias(f"n{i}_"), F.max("duration").alias(f"longest{i}_"))
-            totals = v if totals is None else totals.join(v, "run_id", "full")
-        runs = self.frame.groupBy("run_id").agg(*[F.first(c, ignorenulls=True).alias(c) for c in keep], F.count(F.lit(1)).alias("n_"))
-        g = runs.join(totals, "run_id", "left")
-        out = self._cases(g, plan, [F.coalesce(f"v{i}_", F.lit(0.0)) for i in range(len(plan.cases))])
-        return out.withColumn("runs", F.coalesce("n0_", F.lit(0))).withColumn("violating_time", F.coalesce("v0_", F.lit(0.0)))
-
-    def _event(self, plan: Plan) -> DataFrame:
+            applies = self._applies(b)
+            rows.append(self._ranked(b, F.when(~applies | value.isNull(), "not_applicable").otherwise(verdict), F.when(applies, value), bound, margin))
+        return self._best(plan, rows, **more)
+
+    def _value(self, plan: Plan, i: int) -> Column:
+        return self._numbers(plan, [F.when(F.isnan(f"v{i}_{j}"), None).otherwise(F.col(f"v{i}_{j}")) for j in range(len(plan.cases))])
+
+    def _durations(self, plans: list[Plan]) -> DataFrame:
+        """By run, d<plan>_<case>: time in which a condition holds, and n<plan>_<case>: how often.
+
+        A comparison of series counts from crossing to crossing.
+        """
+        tracks, out = [], []
+        for i, p in enumerate(plans):
+            for j, b in enumerate(p.cases):
+                active = F.coalesce(b.when, F.lit(False)) if b.when is not None else F.lit(True)
+                c = p.check.comparison
+                if c and c[1] in ("<", "<=", ">", ">=") and not p.check.discrete:
+                    e = c[0].column - c[2].column if c[1] in (">", ">=") else c[2].column - c[0].column
+                    hit = e >= 0 if c[1] in (">=", "<=") else e > 0
+                else:
+                    e = F.when(p.check.column, 1.0).when(~p.check.column, -1.0)
+                    hit = e > 0
+                tracks.append(F.struct(F.lit(i).alias("req"), F.lit(j).alias("part"), F.when(active, e).cast("double").alias("e"), F.coalesce(active & hit, F.lit(False)).alias("viol"), F.lit(p.check.discrete).alias("discrete")))
+                own = (F.col("req") == i) & (F.col("part") == j)
+                out += [F.sum(F.when(own, F.col("z.z_") - F.col("s.s_"))).alias(f"d{i}_{j}"), F.count_if(own).alias(f"n{i}_{j}")]
+        d = self._clock(plans).select(*map(F.expr, _CLOCK), F.inline(F.array(*tracks)))
+        ends = [F.min(F.struct("idx", "s_")).alias("s"), F.max(F.struct("idx", "z_")).alias("z")]
+        return self._islands(d).where("viol").groupBy("run_id", "req", "part", "island").agg(*ends).groupBy("run_id").agg(*out)
+
+    def _duration(self, plan: Plan, i: int) -> Column:
+        held = lambda j: F.coalesce(F.col(f"d{i}_{j}"), F.lit(0.0))
+        return self._numbers(plan, [held(j) for j in range(len(plan.cases))], runs=F.coalesce(F.col(f"n{i}_0"), F.lit(0)), violating_time=held(0))
+
+    def _event(self, plan: Plan) -> Column:
         """Number and time of an event; pending ones warn."""
         name, _, which = plan.req.check.strip("'\" ").partition("#")
-        keep = [c for c in self.frame.columns if c.startswith(("e_", "p_")) or c in self.scope.params.values()]
-        g = self.frame.groupBy("run_id").agg(*[F.first(c).alias(c) for c in keep])
         times = F.col(f"e_{name}")
-        chosen = F.get(times, F.size(times) - 1) if which == "last" else F.get(times, int(which or 1) - 1) if which != "all" else F.get(times, 0)
-        g = g.withColumn("count_", F.size(times)).withColumn("time_", chosen)
-        rows = []
+        time = F.get(times, F.size(times) - 1) if which == "last" else F.get(times, int(which or 1) - 1) if which != "all" else F.get(times, 0)
+        pending = F.coalesce(F.col(f"p_{name}"), F.lit(False)) if name in self.rules.pending else F.lit(False)
+        none, rows = F.lit(None).cast("double"), []
         for b in plan.cases:
-            applies = F.coalesce(b.applies, F.lit(False)) if b.applies is not None else F.lit(True)
-            miscount = F.col("count_") != (b.count if b.count is not None else 1)
-            verdict, bound, margin = self.compare(F.col("time_"), b) if b.kind != "none" else (F.lit("pass"), F.lit(None).cast("double"), F.lit(None).cast("double"))
-            late = F.when(F.col("time_").isNull(), F.lit("fail" if b.kind != "none" else "pass")).otherwise(verdict)
-            pending = F.coalesce(F.col(f"p_{name}"), F.lit(False)) if name in self.rules.pending else F.lit(False)
-            v = F.when(~applies, "not_applicable").when(miscount | (late == "fail"), "fail").when((late == "warn") | pending, "warn").otherwise("pass")
-            rank = F.when(v == "fail", 0).when(v == "warn", 2).when(v == "pass", 3).otherwise(4)
-            rows.append(F.struct(rank.alias("rank"), F.coalesce(margin, F.lit(float("inf"))).alias("least"), v.alias("verdict"), bound.alias("limit"), margin.alias("margin"), F.lit(b.label).alias("case")))
-        d = g.withColumn("best", F.array_min(F.array(*rows)))
-        return d.select("run_id", F.lit("event").alias("kind"), F.col("best.verdict").alias("verdict"), F.col("time_").alias("value"), F.col("time_").alias("at"), F.col("best.limit").alias("limit"), F.col("best.margin").alias("margin"), (F.col("best.margin") / F.nullif(F.abs(F.col("best.limit")), F.lit(0.0))).alias("margin_pct"), F.nullif(F.col("best.case"), F.lit("")).alias("case"), F.col("count_").alias("runs"))
+            miscount = F.size(times) != (b.count if b.count is not None else 1)
+            verdict, bound, margin = self.compare(time, b) if b.kind != "none" else (F.lit("pass"), none, none)
+            late = F.when(time.isNull(), F.lit("fail" if b.kind != "none" else "pass")).otherwise(verdict)
+            v = F.when(~self._applies(b), "not_applicable").when(miscount | (late == "fail"), "fail").when((late == "warn") | pending, "warn").otherwise("pass")
+            rows.append(self._ranked(b, v, time, bound, margin))
+        return self._best(plan, rows, value=time, at=time, runs=F.size(times))

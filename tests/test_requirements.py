@@ -130,3 +130,37 @@ def test_table_of_cases():
     s = table.load(rows, where={"Status": "ok"})
     assert [r.id for r in s.requirements] == ["A"] and len(s.requirements[0].cases) == 2 and s.not_covered == ["B"]
     assert s.requirements[0].kind == "upper" and s.requirements[0].cases[0].when == "value > 1"
+
+
+def mixed(n):
+    """n requirements of every kind, n >= 1 rounds."""
+    out = []
+    for i in range(n):
+        out += [
+            Requirement(f"U{i}", "value", cases=[Case(1, "low", when="value < 3", limit=f"<= {i + 1}"), Case(2, limit=f"<= {i + 4}", margin="50 %")]), Requirement(f"A{i}", f"value < {i + 3} or flag"),
+            Requirement(f"M{i}", "value", "max", cases=[Case(1, limit=f"<= {i + 4}")]), Requirement(f"D{i}", f"value > {i + 2}", "duration", cases=[Case(1, limit="<= 1 s")]), Requirement(f"E{i}", "vlue", cases=[Case(1, limit="<= 1")]),
+        ]
+    return [r if r.cases else Requirement(r.id, r.check, r.kind, cases=[Case(1)]) for r in out]
+
+
+def wide(spark):
+    rows = [(run, i, float(i), None if (i + run) % 7 == 3 else float((i * (run + 1)) % 6), i % 3 == 0) for run in (1, 2, 3) for i in range(20)]
+    return Checker(spark.createDataFrame(rows, "run_id int, idx long, t double, value double, flag boolean"), Scope(signals={"value": Signal("value"), "flag_": Signal("flag")}, conditions={"flag": "value == 2"}))
+
+
+def test_many_requirements_are_what_each_is_alone(spark):
+    c, reqs = wide(spark), mixed(2)
+    got = {(r.run_id, r.id): tuple(r) for r in c.check(reqs).collect()}
+    alone = {(r.run_id, r.id): tuple(r) for q in reqs for r in c.one(q).collect()}
+    assert got == alone and len(got) == 3 * len(reqs)
+    assert {v[3] for v in got.values()} >= {"fail", "error", "warn"}
+    assert c.check([]).count() == 0
+
+
+def test_exchanges_do_not_grow_with_requirements(spark):
+    def exchanges(n):
+        plan = wide(spark).check(mixed(n))._jdf.queryExecution().executedPlan().toString()
+        return plan.count("Exchange hashpartitioning"), plan.count("Scan")
+
+    assert exchanges(1) == exchanges(8)
+    assert wide(spark).check(mixed(4)[:2])._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
