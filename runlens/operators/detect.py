@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -254,11 +256,12 @@ def local_extrema(df: DataFrame, prominence: float, separation: float = 0.0, kin
     def spread(pdf: pd.DataFrame) -> pd.DataFrame:
         """The highest first, the lowest index among equals; a peak stays if none that stays is too near."""
         height = pdf.value if pdf.kind.iloc[0] == "max" else -pdf.value
-        kept, rows = [], []
-        for i in pdf.assign(h=-height).sort_values(["h", "idx"]).index:
-            if all(abs(pdf.t[i] - o) >= separation for o in kept):
-                kept.append(pdf.t[i])
+        t, kept, rows = pdf.t.to_numpy(), [], []  # kept: times in order, so that only the two beside a peak can be too near
+        for i in np.lexsort((pdf.idx, -height)):
+            at = bisect_left(kept, t[i])
+            if all(abs(t[i] - o) >= separation for o in kept[max(0, at - 1) : at + 1]):
+                kept.insert(at, t[i])
                 rows.append(i)
-        return pdf.loc[sorted(rows)]
+        return pdf.iloc[sorted(rows)]
 
     return peaks.join(times, [*keys, "idx"]).groupBy(*keys, "kind").applyInPandas(lambda p: spread(p)[[*keys, "idx", "value", "prominence", "kind", "left_base", "right_base"]], schema)

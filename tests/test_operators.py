@@ -121,3 +121,17 @@ def test_no_frame_runs_to_the_end(spark):
     assert frames[1].first().max_error < 0.01  # the last samples have no knot after them
     assert frames[2].where("mean is not null").count() == n
     assert time.time() - began < 120
+
+
+@pytest.mark.parametrize("separation", [1.0, 2.5])
+def test_separated_extrema(frame, runs, separation):
+    """The highest peak first, the lowest index among equals; a peak stays if none that stays is too near."""
+    every, kept = D.local_extrema(frame, 1.0).collect(), D.local_extrema(frame, 1.0, separation=separation).collect()
+    want = set()
+    for run, kind in {(r.run_id, r.kind) for r in every}:
+        stays = []
+        for p in sorted((r for r in every if (r.run_id, r.kind) == (run, kind)), key=lambda r: (-r.value if kind == "max" else r.value, r.idx)):
+            if all(abs(runs[run][0][p.idx] - o) >= separation for o in stays):
+                stays.append(runs[run][0][p.idx])
+                want.add((run, kind, p.idx))
+    assert {(r.run_id, r.kind, r.idx) for r in kept} == want and len(kept) == len(want) < len(every)
