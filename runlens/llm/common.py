@@ -52,6 +52,11 @@ def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Record
         yield batch.slice(start)
 
 
+def few(df: DataFrame, rows: int, each: int = 1 << 18) -> DataFrame:
+    """df, of at most `rows` rows, with a task and a file for `each` of them: a small table isn't written as hundreds of files."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def release() -> None:
     """Give memory that is free again back to the system; workers live on and would keep it."""
     pa.default_memory_pool().release_unused()

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import documents, free, map_arrow, slices, texts
+from runlens.llm.common import documents, few, free, map_arrow, slices, texts
 from runlens.session import shared_dir, ship
 
 SHINGLE = 3
@@ -167,10 +167,14 @@ def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
     return spread.join(least.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).hint("merge"), ["u", "part"]).drop("part")
 
 
-def components(edges: DataFrame, folder: str) -> DataFrame:
-    """u, root for every node with an edge that isn't a root itself; roots are the least of their component."""
+def components(edges: DataFrame, folder: str, most: int | None = None) -> DataFrame:
+    """u, root for every node with an edge that isn't a root itself; roots are the least of their component.
+
+    edges are read once; most: how many there are at most, where that is known.
+    """
     spark = edges.sparkSession
-    edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct().write.parquet(f"{folder}/edges-0")
+    start = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+    (start if most is None else few(start, most)).write.parquet(f"{folder}/edges-0")
     state, turn = None, 0
     while True:
         now = spark.read.parquet(f"{folder}/edges-{turn}")
@@ -183,7 +187,7 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         large = _with_least(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = _with_least(large, lower).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small.union(lower).distinct().write.parquet(f"{folder}/edges-{turn + 1}")
+        few(small.union(lower).distinct(), 2 * mark[0]).write.parquet(f"{folder}/edges-{turn + 1}")
         turn += 1
 
 
@@ -194,7 +198,7 @@ def _joined(docs: DataFrame) -> DataFrame:
     fingerprints(docs).write.parquet(f"{folder}/fingerprints")  # small; each text is read once
     found = spark.read.parquet(f"{folder}/fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("id_null"), "doc_id", "h"))
-    found.groupBy("fp").agg(first.alias("first")).write.parquet(f"{folder}/nodes")
+    few(found.groupBy("fp").agg(first.alias("first")), found.count()).write.parquet(f"{folder}/nodes")
     nodes = spark.read.parquet(f"{folder}/nodes")
     edges = links(nodes.select("fp"), 0).union(links(nodes.select("fp"), 1))
     roots = components(edges, folder)
