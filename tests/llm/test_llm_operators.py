@@ -634,6 +634,22 @@ def test_toxicity_keeps_the_rate(spark, monkeypatch):
     assert all(few[i] < 0.3 for i in few if i % 10) and sum(few[i] >= 0.3 for i in few if not i % 10) >= 0.95 * 150
 
 
+def test_toxicity_of_unseen_endings(spark):
+    """Stems of insults whose every occurrence has an ending of its own: no word of a held-out document has been labelled."""
+    rng = random.Random(4)
+    docs, labels = [], []
+    for i in range(1600):
+        own, bad = words(rng, 40).split(), i % 8 == 0
+        if bad:
+            own.append(rng.choice(("grumpf", "zwackl")) + "".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(4, 8))))
+        docs.append((i, " ".join(own)))
+        labels.append((i, 1, int(bad)))
+    d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rows = [r for r in toxicity.score_documents(d, y).collect() if r.held_out]
+    toxic, clean = [r.predicted for r in rows if r.doc_id % 8 == 0], [r.predicted for r in rows if r.doc_id % 8]
+    assert sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.03 * len(clean)
+
+
 def test_toxicity_of_ids_that_repeat(spark):
     """An id with unlike texts, in any order, and a labelled text of some 100 KB."""
     docs, labels = toxic_rows(600)
