@@ -329,6 +329,22 @@ def test_lm_in_runs_is_as_in_one(spark):
     assert min(twice) > max(once)
 
 
+def test_lm_weights_learn_from_every_run(spark, monkeypatch):
+    """The weights at the start are fitted to the bits of all training documents, in however many runs."""
+    items = lm_corpus(8)
+    learnt = [zlib.crc32(str(k).encode()) % 7 != 2 for k in range(len(items))]
+    _, bits, mine = lm_whole(items, learnt)
+    seen, mean = [], lmscore.Model.mean
+    monkeypatch.setattr(lmscore.Model, "mean", staticmethod(lambda models: (seen.append(sum(m.seen.sum() for m in models)), mean(models))[1]))
+    runs = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        assert lmscore.score_documents(spark.createDataFrame(list(enumerate(items)), "doc_id long, text string")).count() == len(items)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", runs)
+    assert seen == [mine[bits.doc].sum()]
+
+
 def test_lm_probabilities_sum_to_one_at_most():
     """Over all symbols that can follow: the words of the corpus, each as the last word of the same text, and an unknown one."""
     items = ["a b c a b d", "a b c e", "b c a f", "c a b c"]
