@@ -1,12 +1,16 @@
-"""Near copies by the Jaccard similarity of their word shingles, for the pipeline.
+"""Near copies by SimHash and vantage-point trees, then the Jaccard similarity of word shingles, for the pipeline.
 
-Texts are near copies from a similarity of SIMILAR on. A 64-bit SimHash can't find them: at 0.8 fingerprints differ in about
-ten bits, up to 17, and no tree over 64 bits prunes at that radius. So candidates come from bands of minimum hashes (a pair
-at 0.8 shares none of the bands once in 9,000 cases), and all texts of a band are compared unless they are known to be of one
-component. First each is compared with the least of its band: these stars are dealt out in slices, so that no task gets a
-large group. Then what is left: bands that still have several components are dealt out in blocks of two slices, but for
+Texts are near copies from a similarity of SIMILAR on. Their fingerprints then differ in up to 15 % of the bits: ten of 64, a
+radius at which no tree prunes. So a fingerprint has BITS bits, as SimHash gives them, and VIEWS choices of 32 of these have a
+vantage-point tree each, as a half of op5_simhash has: two texts are candidates if a view differs in one bit at most, so the
+slack is 1 (a pair at 0.8 does so in 3.5 % of the views). The upper levels are built on the driver from a bounded sample and
+only balance shards; a shard goes on splitting by itself down to leaves, whose searches find all values one bit apart.
+
+What is linked in a shard is a group, and all texts of a group are compared unless they are known to be of one
+component. First each is compared with the least of its group: these stars are dealt out in slices, so that no task gets a
+large group. Then what is left: groups that still have several components are dealt out in blocks of two slices, but for
 blocks within one component, and an exact search joins what is near within a block. So a large group of near copies costs
-in proportion to its size, and to the number of strangers in its bands. Texts with equal sets are one node from the start.
+in proportion to its size, and to the number of strangers in its groups. Texts with equal sets are one node from the start.
 """
 
 from __future__ import annotations
@@ -21,18 +25,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm.common import few, free, map_arrow, slices, texts
-from runlens.llm.simhash import components
-from runlens.session import shared_dir
+from runlens.llm.simhash import _split, build, components, route
+from runlens.session import shared_dir, ship
 
 SHINGLE = 5
 SIMILAR = (4, 5)  # as a fraction, so that the check is exact
-BANDS, ROWS = 30, 6
+BITS, VIEWS = 4096, 320  # of a fingerprint; of 32 bits each
+SAMPLE = 8192  # fingerprints that the upper levels are built from
+SHARD = 1 << 18  # values of a view that a shard should have
+LEAF = 4096
+SMALL, TIMES = 64, 8  # a smaller set counts each shingle so many times, with other bits: the law of angles needs many terms
 TEXTS = 4096  # in a file of those that are compared
 SLICE = 512  # texts of a star or a component that are compared in one task; a block has two slices
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _RNG = np.random.default_rng(20240613)
-_FACTORS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADDED = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_WORDS = BITS // 64
+_FACTORS = _RNG.integers(0, 1 << 63, _WORDS * TIMES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADDED = _RNG.integers(0, 1 << 63, _WORDS * TIMES, dtype=np.uint64)
+_CHOSEN = np.concatenate([_RNG.permutation(BITS) for _ in range(-(-VIEWS * 32 // BITS))])[: VIEWS * 32]  # bits of the views
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -48,16 +58,147 @@ def set_key(own: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(own.tobytes())
 
 
-def bands(own: np.ndarray) -> np.ndarray:
-    """A number for each band; equal numbers mean that ROWS minimum hashes agree."""
-    if not len(own):
-        return np.zeros(0, np.uint64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(own), 1024):
-        x = own[i : i + 1024, None] * _FACTORS + _ADDED
-        np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=0), out=least)
-    rows = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def _ones(words: np.ndarray) -> np.ndarray:
+    """How many rows have each bit: rows are added in pairs, all bits side by side, with a plane for each binary digit."""
+    planes = [words]
+    while len(planes[0]) > 1:
+        if len(planes[0]) % 2:
+            planes = [np.concatenate([p, np.zeros_like(p[:1])]) for p in planes]
+        half, out, carry = len(planes[0]) // 2, [], None
+        for p in planes:
+            a, b = p[:half], p[half:]
+            differ, both = a ^ b, a & b
+            out.append(differ if carry is None else differ ^ carry)
+            carry = both if carry is None else both | (differ & carry)
+        planes = [*out, carry]
+    return sum(np.unpackbits(p[0].view(np.uint8), bitorder="little").astype(np.int64) << k for k, p in enumerate(planes))
+
+
+def fingerprint(own: np.ndarray, times: int = 1) -> np.ndarray:
+    """BITS bits, packed: a bit is 1 if it is set in over half of the hashes of the shingles."""
+    used, ones = slice(0, times * _WORDS), np.zeros(BITS, np.int64)
+    for i in range(0, len(own), 512):
+        ones += _ones(_mixed(own[i : i + 512, None] * _FACTORS[used] + _ADDED[used]).reshape(-1, _WORDS))
+    return np.packbits(2 * ones > len(own) * times, bitorder="little")
+
+
+def fingerprints(own: np.ndarray) -> list[bytes]:
+    """Of a small set that of the small ones, of a large set the plain one; both where a near copy may be of the other kind."""
+    kinds = [TIMES] * (0 < len(own) * SIMILAR[0] <= SMALL * SIMILAR[1]) + [1] * (len(own) >= SMALL)
+    return [fingerprint(own, times).tobytes() for times in kinds]
+
+
+def views(prints: np.ndarray) -> np.ndarray:
+    """For each view the 32 bits of each of the packed fingerprints (rows)."""
+    chosen = np.unpackbits(prints, axis=1, bitorder="little")[:, _CHOSEN].reshape(len(prints), VIEWS, 32)
+    return np.ascontiguousarray(np.packbits(chosen, axis=2, bitorder="little").view("<u4")[:, :, 0].T).astype(np.uint64)
+
+
+def _apart(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of a leaf that differ in one bit; values are distinct and sorted.
+
+    Such a pair has equal upper or equal lower 16 bits. Where many have, each value looks for its 32 neighbours instead.
+    """
+    first, second = [], []
+    for part in (np.uint64(0), np.uint64(16)):
+        key = (values >> part) & np.uint64(0xFFFF)
+        order = np.argsort(key, kind="stable")
+        key, own = key[order], values[order]
+        for d in range(1, len(values)):
+            same = np.flatnonzero(key[d:] == key[:-d])
+            if not len(same):
+                break
+            if d > 32:
+                return _neighbours(values)
+            same = same[np.bitwise_count(own[same + d] ^ own[same]) == 1]
+            first.append(order[same])
+            second.append(order[same + d])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *first]), np.concatenate([none, *second])
+
+
+def _neighbours(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first, second = [], []
+    for bit in range(32):
+        asked = values ^ np.uint64(1 << bit)
+        at = np.minimum(np.searchsorted(values, asked), len(values) - 1)
+        found = np.flatnonzero((values[at] == asked) & (asked > values))
+        first.append(found)
+        second.append(at[found])
+    return np.concatenate(first), np.concatenate(second)
+
+
+def linked(values: np.ndarray) -> np.ndarray:
+    """For each of distinct sorted values the place of the least it is linked to in steps of one bit, by leaves of a tree."""
+    rng, todo, first, second = np.random.default_rng(7), [np.arange(len(values))], [], []
+    while todo:
+        at = todo.pop()
+        own = values[at]
+        split = _split(own, 0, rng) if len(at) > LEAF else None
+        if split is None:
+            a, b = _apart(own)
+            first.append(at[a])
+            second.append(at[b])
+            continue
+        vantage, mask, radius, slack = split
+        d = np.bitwise_count((own ^ np.uint64(vantage)) & np.uint64(mask))
+        todo += [at[d <= radius + slack], at[d > radius]]
+    a, b = np.concatenate(first), np.concatenate(second)
+    root = np.arange(len(values))
+    while True:
+        least = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], least)
+        np.minimum.at(new, root[b], least)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """The groups of a shard with their members: key, band (of the members, so that equal groups are one), v (the least)."""
+    values = np.frombuffer(b"".join(table.column("values").to_pylist()), "<u4").astype(np.uint64)
+    keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), "<i8")
+    distinct, place = np.unique(values, return_inverse=True)
+    group = linked(distinct)[place]
+    shared = np.flatnonzero(np.bincount(group)[group] > 1)
+    group, keys = group[shared], keys[shared]
+    order = np.lexsort((keys, group))
+    group, keys = group[order], keys[order]
+    first = np.flatnonzero(np.r_[len(group) > 0, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[first, len(group)])
+    band = np.add.reduceat(_mixed(keys.view(np.uint64)), first) if len(first) else np.zeros(0, np.uint64)
+    return pa.table({"key": pa.array(keys), "band": pa.array(np.repeat(band.view(np.int64), size)), "v": pa.array(np.repeat(keys[first], size))})
+
+
+def _groups(nodes: DataFrame, count: int) -> DataFrame:
+    """key, band, v: the members of all groups of all views; nodes have a key and a fingerprint."""
+    ship(nodes.sparkSession)
+    shards = -(-count // SHARD)
+    trees = [[0]] * VIEWS
+    if shards > 1:
+        sample = nodes.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("print").collect()
+        sample = views(np.frombuffer(b"".join(bytes(r["print"]) for r in sample), np.uint8).reshape(len(sample), -1))
+        trees = [build(own, 0, shards) for own in sample]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2048):
+                part = batch.slice(lo, 2048)
+                keys = part.column("key").to_numpy()
+                own = views(np.frombuffer(b"".join(part.column("print").to_pylist()), np.uint8).reshape(len(keys), -1))
+                rows = [(k << 32 | shard, own[k][at].astype("<u4").tobytes(), keys[at].tobytes()) for k in range(VIEWS) for shard, at in route(trees[k], own[k])]
+                columns = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["place", "values", "keys"])
+
+    dealt = map_arrow(nodes.select("key", "print"), deal, "place long, values binary, keys binary")
+    return dealt.groupBy("place").applyInArrow(lambda t: _meet(t), "key long, band long, v long").distinct()
 
 
 def near(a: int, b, both):
@@ -106,19 +247,17 @@ def groups(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _keys(docs: DataFrame) -> DataFrame:
-    """doc_id, h (a hash of the text), key (of the set of shingles) and bands."""
+    """doc_id, h (a hash of the text), key (of the set of shingles) and its fingerprints (none without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
                 own = [shingles(t) for t in texts(part.column("text"))]
                 keys = pa.array(np.array([set_key(s) for s in own], np.uint64).view(np.int64))
-                found = [bands(s) for s in own]
-                flat = pa.array((np.concatenate(found) if found else np.zeros(0, np.uint64)).view(np.int64))
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(list(map(len, found)))], pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), keys, lists], ["doc_id", "h", "key", "bands"])
+                prints = pa.array(list(map(fingerprints, own)), pa.list_(pa.binary()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), keys, prints], ["doc_id", "h", "key", "prints"])
 
-    return map_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("h")), run, f"doc_id {dict(docs.dtypes)['doc_id']}, h long, key long, bands array<long>")
+    return map_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("h")), run, f"doc_id {dict(docs.dtypes)['doc_id']}, h long, key long, prints array<binary>")
 
 
 def _stars(table: pa.Table) -> pa.Table:
@@ -183,10 +322,10 @@ def keep_first(docs: DataFrame) -> DataFrame:
     found = kept(_keys(docs), "keys")  # each text is read once
     first = F.min(F.struct(F.col("doc_id").isNull().alias("id_null"), "doc_id", "h"))
     rows = found.count()
-    nodes = kept(few(found.groupBy("key").agg(first.alias("first")), rows), "nodes")
-    by_band = found.select("key", F.explode("bands").alias("band")).distinct()
-    shared = by_band.groupBy("band").agg(F.min("key").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    dealt = kept(few(by_band.join(shared.hint("merge"), "band"), BANDS * rows), "dealt")
+    nodes = kept(few(found.groupBy("key").agg(first.alias("first"), F.min("prints").alias("prints")), rows, 1 << 13), "nodes")
+    prints = nodes.select("key", F.explode("prints").alias("print"))
+    dealt = kept(_groups(prints, prints.count()), "dealt")
+    nodes = nodes.drop("prints")
     own_id, own_h, key, keep = free(docs.columns, "own_id", "own_h", "key", "keep")
 
     def met(rows: DataFrame, firsts: DataFrame, how: str) -> DataFrame:

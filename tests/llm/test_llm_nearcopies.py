@@ -104,3 +104,57 @@ def test_search_of_a_group():
             if similar(set(sets[i].tolist()), set(sets[j].tolist())):
                 part = [part[j] if p == part[i] else p for p in part]
     assert {(a, b) for a in range(len(sets)) for b in range(a) if got[a] == got[b]} == {(a, b) for a in range(len(sets)) for b in range(a) if part[a] == part[b]}
+
+
+def test_fingerprints_against_a_loop():
+    """SimHash bit by bit; a set of a size where a near copy may be small has both kinds."""
+    rng = np.random.default_rng(6)
+    for n, kinds in ((1, 1), (63, 1), (64, 2), (80, 2), (81, 1), (700, 1)):
+        own = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        assert len(nearcopies.fingerprints(own)) == kinds
+        for times in (1, nearcopies.TIMES):
+            ones = [0] * nearcopies.BITS
+            for s in own.tolist():
+                for k in range(nearcopies._WORDS * times):
+                    x = (s * int(nearcopies._FACTORS[k]) + int(nearcopies._ADDED[k])) % 2**64
+                    x = ((x ^ x >> 32) * 0xD6E8FEB86659FD93) % 2**64
+                    x ^= x >> 29
+                    if n < 100 or k < 2:
+                        for bit in range(64):
+                            ones[k % nearcopies._WORDS * 64 + bit] += x >> bit & 1
+            got = np.unpackbits(nearcopies.fingerprint(own, times), bitorder="little")
+            upto = nearcopies.BITS if n < 100 else 128 if times == 1 else 0
+            assert got[:upto].tolist() == [int(2 * c > n * times) for c in ones[:upto]]
+    assert nearcopies.fingerprints(np.zeros(0, np.uint64)) == []
+
+
+def test_trees_link_all_values_one_bit_apart(monkeypatch):
+    """Random values, chains and a ball, through small leaves, against all pairs; and by both searches of a leaf."""
+    monkeypatch.setattr(nearcopies, "LEAF", 40)
+    rng = np.random.default_rng(8)
+    values = rng.integers(0, 1 << 32, 700).astype(np.uint64)
+    chain = [int(values[0])]
+    for _ in range(60):
+        chain.append(chain[-1] ^ 1 << int(rng.integers(32)))
+    ball = [int(values[1]) ^ 1 << k for k in range(32)]
+    values = np.unique(np.r_[values, np.array(chain + ball, np.uint64), values[2:200] ^ np.uint64(1 << 20)])
+    near = np.bitwise_count(values[:, None] ^ values[None]) <= 1
+    root = np.arange(len(values))
+    while (new := np.where(near, root[None], len(values)).min(axis=1)).tolist() != root.tolist():
+        root = new
+    assert nearcopies.linked(values).tolist() == root.tolist()
+    want = {(a, b) for a, b in zip(*np.nonzero(near)) if a < b}
+    for search in (nearcopies._apart, nearcopies._neighbours):
+        assert {(min(p), max(p)) for p in zip(*(x.tolist() for x in search(values)))} == want
+
+
+def test_pairs_at_the_limit_meet_in_a_view():
+    """Pairs of similarity 0.8 to 0.82, small and large."""
+    rng = np.random.default_rng(9)
+    for n, other in ((5, 0), (20, 2), (63, 6), (70, 7), (78, 8), (400, 44)):
+        for _ in range(40):
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            b = np.unique(np.r_[a[other:], rng.integers(0, 1 << 63, other).astype(np.uint64)] if other else a[:4])
+            prints = [np.frombuffer(b"".join(nearcopies.fingerprints(x)), np.uint8).reshape(-1, nearcopies.BITS // 8) for x in (a, b)]
+            one, two = (nearcopies.views(p) for p in prints)
+            assert (np.bitwise_count(one[:, :, None] ^ two[:, None, :]) <= 1).any()
