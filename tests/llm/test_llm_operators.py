@@ -363,6 +363,20 @@ def test_lm_probabilities_sum_to_one_at_most():
     assert 0.3 < total <= 1 + 1e-6
 
 
+def test_lm_numbers_and_fits_quickly_and_alike(monkeypatch):
+    """Words are numbered alike whatever the order of the texts, also where hashes meet; sums of logarithms are as one by one."""
+    rng = np.random.default_rng(3)
+    x = np.r_[rng.random(1003), 1e-9]
+    assert abs(lmscore._log_sum(x) - np.log(x).sum()) < 1e-9 and lmscore._log_sum(x[:0]) == 0
+    items = [b"a b c a", b"d a b", b"", b"c e"]
+    for meet in (False, True):
+        if meet:
+            monkeypatch.setattr(lmscore.xxhash, "xxh64_intdigest", lambda w: len(w) % 2)
+        one, other = lmscore.Run(items, 40), lmscore.Run(items[::-1], 40)
+        assert one.words == other.words and sorted(one.words) == [b"\n", b"a", b"b", b"c", b"d", b"e"]
+        assert [one.words[i] for i in one.ids.tolist()] == [w for t in items for w in [*t.split(), b"\n"]]
+
+
 def test_lm_spelling():
     letters = np.zeros(257 * 257)
     letters[lmscore._pairs_of_bytes([b"ab", b"ab", b"b"])[0]] += 1
