@@ -7,10 +7,13 @@ slack is 1 (a pair at 0.8 does so in 3.5 % of the views). The upper levels are b
 only balance shards; a shard goes on splitting by itself down to leaves, whose searches find all values one bit apart.
 
 What is linked in a shard is a group, and all texts of a group are compared unless they are known to be of one
-component. First each is compared with the least of its group: these stars are dealt out in slices, so that no task gets a
-large group. Then what is left: groups that still have several components are dealt out in blocks of two slices, but for
-blocks within one component, and an exact search joins what is near within a block. So a large group of near copies costs
-in proportion to its size, and to the number of strangers in its groups. Texts with equal sets are one node from the start.
+component. First each is compared with the least it has met in any view: most copies are of one component then, and each
+text has been sent once. Then what is left, without what has been compared: of groups of PAIRED members or fewer all pairs, of
+larger ones those with the least. Their whole fingerprints come first, and texts are sent only of pairs within WIDE bits. These
+stars are dealt out in slices, so that no task gets a large group. Last, larger groups that still have several components are
+dealt out in blocks of two slices, but for blocks within one component, and an exact search joins what is near within a block.
+So a large group of near copies costs in proportion to its size, and to the number of strangers in its groups. Texts with equal
+sets are one node from the start.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ SHARD = 1 << 18  # values of a view that a shard should have
 LEAF = 4096
 SMALL, TIMES = 64, 8  # a smaller set counts each shingle so many times, with other bits: the law of angles needs many terms
 TEXTS = 4096  # in a file of those that are compared
+PAIRED = 16  # members of a group of which all pairs are compared
+WIDE = 800  # bits of whole fingerprints that near copies differ in at most: 620 are expected at SIMILAR, with a deviation of 23
 SLICE = 512  # texts of a star or a component that are compared in one task; a block has two slices
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _RNG = np.random.default_rng(20240613)
@@ -273,6 +278,17 @@ def _stars(table: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array([lead] * len(u), pa.int64())})
 
 
+def _close(table: pa.Table) -> pa.Table:
+    """Of a slice of a star the members with a fingerprint within WIDE bits of one of the first: u, v."""
+    keys, lead, prints = table.column("u").to_numpy(), table.column("v")[0].as_py(), table.column("prints").to_pylist()
+    whole = [np.frombuffer(p, np.uint64) for p in prints[int(np.flatnonzero(keys == lead)[0])]]
+    own = np.frombuffer(b"".join(p for ps in prints for p in ps), np.uint64).reshape(-1, _WORDS)
+    apart = np.min([np.bitwise_count(own ^ w).sum(axis=1, dtype=np.int64) for w in whole], axis=0)
+    u = np.unique(np.repeat(keys, list(map(len, prints)))[apart <= WIDE])
+    u = u[u != lead]
+    return pa.table({"u": pa.array(u), "v": pa.array(np.full(len(u), lead))})
+
+
 def _block(table: pa.Table) -> pa.Table:
     """Stars of the components of a block: u, v."""
     keys, first = np.unique(table.column("key").to_numpy(), return_index=True)
@@ -282,6 +298,24 @@ def _block(table: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array(keys[v != keys]), "v": pa.array(v[v != keys])})
 
 
+def _sizes(dealt: DataFrame) -> DataFrame:
+    return dealt.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _unlike(dealt: DataFrame, roots: DataFrame) -> DataFrame:
+    """u, v: distinct pairs of unlike components, of small groups all, of larger ones those with the least."""
+    rooted = dealt.join(roots.select(F.col("u").alias("key"), "root").hint("merge"), "key", "left").select("band", "key", "v", F.coalesce("root", "key").alias("root"))
+    open_ = rooted.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "n")
+    rooted = rooted.join(open_.hint("merge"), "band")
+    first = rooted.where(F.col("key") == F.col("v")).select("band", F.col("root").alias("root_v"))
+    large = rooted.where(F.col("n") > PAIRED).join(first.hint("merge"), "band").where("root <> root_v").select(F.col("key").alias("u"), "v")
+    members = rooted.where(F.col("n") <= PAIRED).groupBy("band").agg(F.collect_list(F.struct("key", "root")).alias("m"))
+    other = lambda x: lambda y: (y["key"] > x["key"]) & (y["root"] != x["root"])
+    of_one = lambda x: F.transform(F.filter("m", other(x)), lambda y: F.struct(y["key"].alias("u"), x["key"].alias("v")))
+    small = members.select(F.explode(F.flatten(F.transform("m", of_one))).alias("p")).select("p.*")
+    return small.union(large).distinct()
+
+
 def _left(dealt: DataFrame, roots: DataFrame) -> DataFrame:
     """Blocks (band, block) with their keys: pairs of slices of the bands that have several components.
 
@@ -323,29 +357,39 @@ def keep_first(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("id_null"), "doc_id", "h"))
     rows = found.count()
     nodes = kept(few(found.groupBy("key").agg(first.alias("first"), F.min("prints").alias("prints")), rows, 1 << 13), "nodes")
-    prints = nodes.select("key", F.explode("prints").alias("print"))
-    dealt = kept(_groups(prints, prints.count()), "dealt")
-    nodes = nodes.drop("prints")
-    own_id, own_h, key, keep = free(docs.columns, "own_id", "own_h", "key", "keep")
+    prints, nodes = nodes.select("key", "prints"), nodes.drop("prints")
+    exploded = prints.select("key", F.explode("prints").alias("print"))
+    dealt = kept(_groups(exploded, exploded.count()), "dealt")
+    key, keep, chosen = free(docs.columns, "key", "keep", "chosen")
 
     def met(rows: DataFrame, firsts: DataFrame, how: str) -> DataFrame:
-        """Rows whose id and text are those of the column `first`."""
-        chosen = firsts.select(F.col("first.doc_id").alias(own_id), F.col("first.h").alias(own_h), *(F.col(c).alias(keep) for c in firsts.columns if c != "first"))
-        return rows.withColumn(key, F.xxhash64("text")).join(chosen.hint("merge"), F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(key) == F.col(own_h)), how)
+        """Rows whose id and text are those of the column `first`; dealt out by these, so that dropping repeats needs no other exchange."""
+        wanted = firsts.select(F.struct("first.doc_id", "first.h").alias(chosen), *(F.col(c).alias(keep) for c in firsts.columns if c != "first"))
+        keyed = rows.withColumn(key, F.struct("doc_id", F.xxhash64("text").alias("h")))
+        return keyed.join(wanted.hint("merge"), F.col(key) == F.col(chosen), how).dropDuplicates([key])
 
     wanted = nodes.join(dealt.select("key").distinct().hint("merge"), "key").select("first", "key")
-    one = met(docs.select("doc_id", "text"), wanted, "inner").select(F.col(keep).alias("key"), "text").dropDuplicates(["key"])
+    one = met(docs.select("doc_id", "text"), wanted, "inner").select(F.col(keep).alias("key"), "text")
     sets = kept(few(one, rows, TEXTS), "texts")
-    pairs = dealt.where("key <> v").select(F.col("key").alias("u"), "v").distinct()
-    stars = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / SLICE).alias("parts"))
-    members = pairs.join(stars.hint("merge"), "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("parts")).alias("part"))
-    leads = stars.select(F.col("v").alias("u"), "v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    sent = members.union(leads).join(sets.withColumnRenamed("key", "u").hint("merge"), "u")
-    edges = sent.groupBy("v", "part").applyInArrow(lambda t: _stars(t), "u long, v long")
-    roots = components(edges, f"{folder}/first", dealt.count())
-    blocks = _left(dealt.select("band", "key"), roots).join(sets.hint("merge"), "key")
+
+    def starred(pairs: DataFrame, values: DataFrame, compare) -> DataFrame:
+        """Edges u, v: pairs (distinct) that `compare` finds in slices of stars, with the columns of values."""
+        stars = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / SLICE).alias("parts"))
+        members = pairs.join(stars.hint("merge"), "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("parts")).alias("part"))
+        leads = stars.select(F.col("v").alias("u"), "v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+        sent = members.union(leads).join(values.withColumnRenamed("key", "u").hint("merge"), "u")
+        return sent.groupBy("v", "part").applyInArrow(lambda t: compare(t), "u long, v long")
+
+    tried = kept(dealt.where("key <> v").groupBy(F.col("key").alias("u")).agg(F.min("v").alias("v")), "tried")
+    roots = components(starred(tried, sets, _stars), f"{folder}/first", rows)
+    pairs = kept(few(_unlike(dealt, roots).join(tried, ["u", "v"], "left_anti"), dealt.count()), "pairs")
+    near_ones = kept(few(starred(pairs, prints, _close), pairs.count()), "close")
+    joined = roots.select("u", F.col("root").alias("v"))
+    roots = components(joined.union(starred(near_ones, sets, _stars)), f"{folder}/second")
+    large = dealt.join(_sizes(dealt).where(F.col("n") > PAIRED).hint("merge"), "band").select("band", "key")
+    blocks = _left(large, roots).join(sets.hint("merge"), "key")
     more = blocks.groupBy("band", "block").applyInArrow(lambda t: _block(t), "u long, v long")
-    roots = components(roots.select("u", F.col("root").alias("v")).union(more), f"{folder}/second")
+    roots = components(roots.select("u", F.col("root").alias("v")).union(more), f"{folder}/third")
     rooted = nodes.join(roots.withColumnRenamed("u", "key").hint("merge"), "key", "left").select("first", F.coalesce("root", "key").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first")
-    return met(docs, firsts, "left_semi").dropDuplicates(["doc_id", key]).drop(key)
+    return met(docs, firsts, "left_semi").drop(key)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from runlens.llm import nearcopies
@@ -158,3 +159,33 @@ def test_pairs_at_the_limit_meet_in_a_view():
             prints = [np.frombuffer(b"".join(nearcopies.fingerprints(x)), np.uint8).reshape(-1, nearcopies.BITS // 8) for x in (a, b)]
             one, two = (nearcopies.views(p) for p in prints)
             assert (np.bitwise_count(one[:, :, None] ^ two[:, None, :]) <= 1).any()
+
+
+def test_texts_are_sent_once(spark, monkeypatch, tmp_path):
+    """A family of copies meets in many views under unlike firsts: each text is sent for one comparison, and only what is left for more."""
+    monkeypatch.setattr(nearcopies, "shared_dir", lambda spark: str(tmp_path))
+    rng = random.Random(31)
+    base, out = [f"w{rng.randrange(10**6)}" for _ in range(200)], []
+    for _ in range(60):
+        w = list(base)
+        for at in rng.sample(range(200), 1):
+            w[at] = f"w{rng.randrange(10**6)}"
+        out.append((len(out), " ".join(w)))
+    got = sorted(r.doc_id for r in nearcopies.keep_first(spark.createDataFrame(out, "doc_id long, text string")).collect())
+    assert got == first_ids(out)
+    read = lambda name: spark.read.parquet(*map(str, tmp_path.glob(f"nearcopies-*/{name}")))
+    stars = read("dealt").where("key <> v").select("key", "v").distinct().count()
+    assert read("tried").groupBy("u").count().where("count > 1").count() == 0
+    assert read("tried").count() + read("close").count() < stars / 2
+
+
+def test_whole_fingerprints_of_pairs_at_the_limit_are_close():
+    """Pairs of similarity 0.8 to 0.82 of all sizes stay, strangers go; the first is no partner of its own."""
+    rng = np.random.default_rng(10)
+    hashes = lambda n: rng.integers(0, 1 << 63, n).astype(np.uint64)
+    for n, other in ((5, 0), (20, 2), (63, 6), (70, 7), (78, 8), (400, 44)):
+        a = np.unique(hashes(n))
+        near = [np.unique(np.r_[a[other:], hashes(other)]) if other else a[:4] for _ in range(30)]
+        sets = [a, *near, np.unique(hashes(n)), np.unique(hashes(n))]
+        table = pa.table({"u": pa.array(range(33), pa.int64()), "v": pa.array([0] * 33, pa.int64()), "prints": [nearcopies.fingerprints(s) for s in sets]})
+        assert nearcopies._close(table).column("u").to_pylist() == list(range(1, 31))
