@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import types
 import zlib
 from collections import Counter
 
@@ -377,6 +378,19 @@ def test_lm_numbers_and_fits_quickly_and_alike(monkeypatch):
         assert [one.words[i] for i in one.ids.tolist()] == [w for t in items for w in [*t.split(), b"\n"]]
 
 
+def test_lm_fit_ends_at_the_best_weights():
+    """Also where the start is far off: rare by the first predictor, but often true; many bits and few."""
+    rng = np.random.default_rng(3)
+    gate = np.repeat([17, 3, 12], [4000, 30, 900])
+    x = np.column_stack([rng.normal(-5, 1, len(gate)), rng.normal(0, 1, len(gate)), rng.integers(-1, 2, len(gate)), np.ones(len(gate))]).astype(np.float32)
+    bits = types.SimpleNamespace(doc=np.zeros(len(gate), int), gate=gate, x=x, y=rng.random(len(gate)) < 0.42 + 0.1 * x[:, 2])
+    model = lmscore.Model().fit(bits, np.array([True]))
+    for g in (17, 3, 12):
+        own, w = x[gate == g].astype(float), model.weights[g]
+        p = 1 / (1 + np.exp(-own @ w))
+        assert np.abs(own.T @ (bits.y[gate == g] - p) - 2 * (w - lmscore.hand_weights()[g])).max() < 1e-6
+
+
 def test_lm_spelling():
     letters = np.zeros(257 * 257)
     letters[lmscore._pairs_of_bytes([b"ab", b"ab", b"b"])[0]] += 1
