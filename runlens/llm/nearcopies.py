@@ -12,6 +12,8 @@ text has been sent once. Then what is left, without what has been compared: of g
 larger ones those with the least. Their whole fingerprints come first, and texts are sent only of pairs within WIDE bits. These
 stars are dealt out in slices, so that no task gets a large group. Last, larger groups that still have several components are
 dealt out in blocks of two slices, but for blocks within one component, and an exact search joins what is near within a block.
+Much the same texts meet in many views: groups with members in common are one group for this, where that is less to compare.
+A block compares no two texts of a known component, and gives the components that it joins, not the texts.
 So a large group of near copies costs in proportion to its size, and to the number of strangers in its groups. Texts with equal
 sets are one node from the start.
 """
@@ -211,8 +213,8 @@ def near(a: int, b, both):
     return both * SIMILAR[1] >= (a + b - both) * SIMILAR[0]
 
 
-def groups(sets: list[np.ndarray]) -> np.ndarray:
-    """For each set a number of its component under near.
+def groups(sets: list[np.ndarray], known: np.ndarray | None = None) -> np.ndarray:
+    """For each set a number of its component under near; sets with the same number in `known` are of one component.
 
     Near copies share one of the shingles that are left when SIMILAR of a set are taken off, the most frequent of the group first.
     """
@@ -227,11 +229,12 @@ def groups(sets: list[np.ndarray]) -> np.ndarray:
     ends = np.searchsorted(holder, np.arange(len(sets) + 1))
     by_name = np.argsort(rare, kind="stable")
     index, held = rare[by_name], holder[by_name]
-    out = np.full(len(sets), -1)
+    out, known = np.full(len(sets), -1), np.arange(len(sets)) if known is None else known
     for start in range(len(sets)):
         if out[start] >= 0:
             continue
-        out[start], front = start, [start]
+        front = np.flatnonzero(known == known[start]).tolist()
+        out[front] = start
         while front:  # who has been reached isn't compared again
             f = front.pop()
             own = rare[ends[f] : ends[f + 1]]
@@ -246,6 +249,8 @@ def groups(sets: list[np.ndarray]) -> np.ndarray:
             place = np.minimum(np.searchsorted(sets[f], flat[live]), sizes[f] - 1)
             both = np.bincount(member[live[sets[f][place] == flat[live]]], minlength=len(sets))[rest]
             found = rest[near(sizes[f], n, both)]
+            if len(found):
+                found = np.flatnonzero(np.isin(known, known[found]))
             out[found] = start
             front.extend(found.tolist())
     return out
@@ -290,12 +295,14 @@ def _close(table: pa.Table) -> pa.Table:
 
 
 def _block(table: pa.Table) -> pa.Table:
-    """Stars of the components of a block: u, v."""
+    """Stars of the components that a block joins: u, v, the roots they had."""
     keys, first = np.unique(table.column("key").to_numpy(), return_index=True)
-    part = groups([shingles(t) for t in texts(table.column("text").take(pa.array(first)))])
-    _, least, back = np.unique(part, return_index=True, return_inverse=True)  # keys are sorted: the first is the least
-    v = keys[least][back]
-    return pa.table({"u": pa.array(keys[v != keys]), "v": pa.array(v[v != keys])})
+    root = table.column("root").to_numpy()[first]
+    part = groups([shingles(t) for t in texts(table.column("text").take(pa.array(first)))], root)
+    root, at = np.unique(root, return_index=True)  # of one root all are in one part
+    _, least, back = np.unique(part[at], return_index=True, return_inverse=True)  # roots are sorted: the first is the least
+    v = root[least][back]
+    return pa.table({"u": pa.array(root[v != root]), "v": pa.array(v[v != root])})
 
 
 def _sizes(dealt: DataFrame) -> DataFrame:
@@ -316,8 +323,28 @@ def _unlike(dealt: DataFrame, roots: DataFrame) -> DataFrame:
     return small.union(large).distinct()
 
 
+def _merged(dealt: DataFrame, roots: DataFrame, folder: str) -> DataFrame:
+    """band, key of the bands with several components; those with members in common are one band where that is less to compare.
+
+    All pairs of the members of a band cost the square of their number, whether several bands have them or one.
+    """
+    spark = dealt.sparkSession
+    rooted = dealt.join(roots.select(F.col("u").alias("key"), "root").hint("merge"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    open_ = rooted.groupBy("band").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    open_.select("band", "v", "n").write.parquet(f"{folder}/open")
+    open_ = few(spark.read.parquet(f"{folder}/open"), spark.read.parquet(f"{folder}/open").count())
+    dealt = dealt.select("band", "key").join(open_.hint("merge"), "band")
+    tied = components(dealt.select(F.col("key").alias("u"), "v"), f"{folder}/tied")  # a band is tied to the others of its least member
+    named = open_.join(tied.select(F.col("u").alias("v"), "root").hint("merge"), "v", "left").select("band", "n", F.coalesce("root", "v").alias("whole"))
+    apart = named.groupBy("whole").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("apart"))
+    size = tied.groupBy(F.col("root").alias("whole")).agg((F.count(F.lit(1)) + 1).cast("double").alias("all"))
+    one = apart.join(size.hint("merge"), "whole").where(F.col("all") * F.col("all") <= F.col("apart")).select("whole")
+    named = named.join(one.hint("merge"), "whole").select("band", "whole")
+    return dealt.select("band", "key").join(named.hint("merge"), "band", "left").select(F.coalesce("whole", "band").alias("band"), "key").distinct()
+
+
 def _left(dealt: DataFrame, roots: DataFrame) -> DataFrame:
-    """Blocks (band, block) with their keys: pairs of slices of the bands that have several components.
+    """Blocks (band, block) with their keys and roots: pairs of slices of the bands that have several components.
 
     A component of SLICE members or more in its band has slices of its own, the others share some. Bands with the same
     members count once. Blocks within one component are left out.
@@ -330,13 +357,13 @@ def _left(dealt: DataFrame, roots: DataFrame) -> DataFrame:
     slots = sizes.drop("mark").join(open_.hint("merge"), "band").withColumn("large", F.col("n") >= SLICE)
     share = lambda x, of: F.pmod(F.xxhash64(F.col(x)), F.ceil(F.col(of) / SLICE))
     member = rooted.join(slots.hint("merge"), ["band", "root"]).withColumn("slice", F.when(F.col("large"), F.xxhash64("root", share("key", "n"))).otherwise(share("root", "small")))
-    member = member.select("band", "key", "slice", F.when(F.col("large"), F.col("root")).alias("only"))
+    member = member.select("band", "key", "root", "slice", F.when(F.col("large"), F.col("root")).alias("only"))
     slices_ = member.select("band", "slice", "only").distinct()
     other = slices_.select(F.col("band").alias("band_2"), F.col("slice").alias("slice_2"), F.col("only").alias("only_2"))
     met = (F.col("band") == F.col("band_2")) & (F.col("slice") <= F.col("slice_2")) & F.coalesce(F.col("only") != F.col("only_2"), F.lit(True))
     pairs = slices_.join(other.hint("merge"), met).withColumn("block", F.xxhash64("slice", "slice_2"))
     within = pairs.select("band", "block", F.explode(F.array_distinct(F.array("slice", "slice_2"))).alias("slice"))
-    return member.select("band", "slice", "key").join(within.hint("merge"), ["band", "slice"]).select("band", "block", "key").distinct()
+    return member.select("band", "slice", "key", "root").join(within.hint("merge"), ["band", "slice"]).select("band", "block", "key", "root").distinct()
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
@@ -386,8 +413,9 @@ def keep_first(docs: DataFrame) -> DataFrame:
     near_ones = kept(few(starred(pairs, prints, _close), pairs.count()), "close")
     joined = roots.select("u", F.col("root").alias("v"))
     roots = components(joined.union(starred(near_ones, sets, _stars)), f"{folder}/second")
-    large = dealt.join(_sizes(dealt).where(F.col("n") > PAIRED).hint("merge"), "band").select("band", "key")
-    blocks = _left(large, roots).join(sets.hint("merge"), "key")
+    large = dealt.join(_sizes(dealt).where(F.col("n") > PAIRED).hint("merge"), "band").select("band", "key", "v")
+    merged = kept(_merged(large, roots, folder), "merged")
+    blocks = _left(merged, roots).join(sets.hint("merge"), "key")
     more = blocks.groupBy("band", "block").applyInArrow(lambda t: _block(t), "u long, v long")
     roots = components(roots.select("u", F.col("root").alias("v")).union(more), f"{folder}/third")
     rooted = nodes.join(roots.withColumnRenamed("u", "key").hint("merge"), "key", "left").select("first", F.coalesce("root", "key").alias("root"))

@@ -189,3 +189,54 @@ def test_whole_fingerprints_of_pairs_at_the_limit_are_close():
         sets = [a, *near, np.unique(hashes(n)), np.unique(hashes(n))]
         table = pa.table({"u": pa.array(range(33), pa.int64()), "v": pa.array([0] * 33, pa.int64()), "prints": [nearcopies.fingerprints(s) for s in sets]})
         assert nearcopies._close(table).column("u").to_pylist() == list(range(1, 31))
+
+
+def test_groups_of_many_views_are_compared_once(spark, monkeypatch, tmp_path):
+    """A family of copies that meets strangers in each of 30 views: rows sent and made follow the texts, not the views."""
+    monkeypatch.setattr(nearcopies, "SLICE", 16)
+    rng = random.Random(41)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    base, out = fresh(60), []
+    for k in range(60):  # the family of the first 40, of which 30 are known to be one; 20 strangers
+        out.append([*base[:-1], *fresh(1)] if k < 40 else fresh(60))
+    known = [(k, 0) for k in range(1, 30)]
+    dealt = [(view, k, 0) for view in range(30) for k in range(60) if k < 20 or rng.random() < 0.9]
+    dealt += [(30, 100, 100), (30, 101, 100), (31, 0, 0), (31, 1, 0)]  # strangers elsewhere; one component
+    out = dict(enumerate(out)) | {100: fresh(60), 101: fresh(60)}
+    large = spark.createDataFrame(dealt, "band long, key long, v long")
+    roots = spark.createDataFrame(known, "u long, root long")
+    sets = spark.createDataFrame([(k, " ".join(w)) for k, w in out.items()], "key long, text string")
+    blocks = nearcopies._left(nearcopies._merged(large, roots, str(tmp_path)), roots).join(sets, "key").cache()
+    assert blocks.count() <= 5 * 62
+    more = blocks.groupBy("band", "block").applyInArrow(lambda t: nearcopies._block(t), "u long, v long").collect()
+    assert len(more) <= 5 * 10 and all(r.v == 0 and 30 <= r.u < 40 for r in more if r.v == 0)
+    parent = {}
+    for u, v in [*known, *sorted((r.u, r.v) for r in more)]:
+        parent[u] = min(v, parent.get(u, v))
+    find = lambda k: k if k not in parent else find(parent[k])
+    assert {k for k in out if find(k) == 0} == set(range(40)) and all(find(k) == k for k in out if k >= 40)
+
+
+def test_a_chain_of_groups_is_not_merged(spark, tmp_path):
+    """Groups that only touch would cost more as one: they stay apart, and one that lies within another goes into it."""
+    dealt = [(b, k, 10 * b) for b in range(12) for k in range(10 * b, 10 * b + 11)] + [(20, k, 1000) for k in range(1000, 1030)] + [(21, k, 1000) for k in range(1000, 1029)]
+    roots = spark.createDataFrame([(1, 0)], "u long, root long")
+    got = nearcopies._merged(spark.createDataFrame(dealt, "band long, key long, v long"), roots, str(tmp_path)).collect()
+    members = {}
+    for r in got:
+        members.setdefault(r.band, set()).add(r.key)
+    assert sorted(map(sorted, members.values())) == sorted([*(list(range(10 * b, 10 * b + 11)) for b in range(12)), list(range(1000, 1030))])
+
+
+def test_search_with_known_components():
+    """Known components stay, are joined whole, and nothing else changes."""
+    rng = np.random.default_rng(15)
+    wholes = [rng.integers(0, 1 << 62, 100).astype(np.uint64) for _ in range(8)]
+    sets = [np.unique(w[rng.random(100) < keep]) for w in wholes for keep in (1, 0.9, 0.95, 0.7)]
+    plain, known = nearcopies.groups(sets), np.arange(len(sets))
+    known[[3, 7, 11]] = 3, 3, 9  # the unlike ones of two families, and one of a third with a member of its own
+    got, want = nearcopies.groups(sets, known), plain.copy()
+    for a, b in ((3, 7), (11, 9)):
+        want[want == want[b]] = want[a]
+    pairs = lambda x: {(a, b) for a in range(len(x)) for b in range(a) if x[a] == x[b]}
+    assert pairs(got) == pairs(want)
