@@ -12,7 +12,7 @@ text has been sent once. Then what is left, without what has been compared: of g
 larger ones those with the least. Their whole fingerprints come first, and texts are sent only of pairs within WIDE bits. These
 stars are dealt out in slices, so that no task gets a large group. Last, larger groups that still have several components are
 dealt out in blocks of two slices, but for blocks within one component, and an exact search joins what is near within a block.
-Much the same texts meet in many views: groups with members in common are one group for this, where that is less to compare.
+Much the same texts meet in many views: groups of one main component are one group for this, where that is less to compare.
 A block compares no two texts of a known component, and gives the components that it joins, not the texts.
 So a large group of near copies costs in proportion to its size, and to the number of strangers in its groups. Texts with equal
 sets are one node from the start.
@@ -324,23 +324,23 @@ def _unlike(dealt: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _merged(dealt: DataFrame, roots: DataFrame, folder: str) -> DataFrame:
-    """band, key of the bands with several components; those with members in common are one band where that is less to compare.
+    """band, key of the bands with several components; bands of one main component are one band where that is less to compare.
 
     All pairs of the members of a band cost the square of their number, whether several bands have them or one.
     """
     spark = dealt.sparkSession
-    rooted = dealt.join(roots.select(F.col("u").alias("key"), "root").hint("merge"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    open_ = rooted.groupBy("band").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    open_.select("band", "v", "n").write.parquet(f"{folder}/open")
-    open_ = few(spark.read.parquet(f"{folder}/open"), spark.read.parquet(f"{folder}/open").count())
-    dealt = dealt.select("band", "key").join(open_.hint("merge"), "band")
-    tied = components(dealt.select(F.col("key").alias("u"), "v"), f"{folder}/tied")  # a band is tied to the others of its least member
-    named = open_.join(tied.select(F.col("u").alias("v"), "root").hint("merge"), "v", "left").select("band", "n", F.coalesce("root", "v").alias("whole"))
-    apart = named.groupBy("whole").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("apart"))
-    size = tied.groupBy(F.col("root").alias("whole")).agg((F.count(F.lit(1)) + 1).cast("double").alias("all"))
-    one = apart.join(size.hint("merge"), "whole").where(F.col("all") * F.col("all") <= F.col("apart")).select("whole")
-    named = named.join(one.hint("merge"), "whole").select("band", "whole")
-    return dealt.select("band", "key").join(named.hint("merge"), "band", "left").select(F.coalesce("whole", "band").alias("band"), "key").distinct()
+    rooted = dealt.join(roots.select(F.col("u").alias("key"), "root").hint("merge"), "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
+    parts = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = F.min(F.struct(-F.col("n"), "root"))["root"]
+    bands = parts.groupBy("band").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots"), main.alias("main")).where("roots > 1")
+    bands.select("band", "n", "main").write.parquet(f"{folder}/open")
+    bands = spark.read.parquet(f"{folder}/open")
+    met = dealt.select("band", "key").join(bands.select("band", "main").hint("merge"), "band")
+    size = met.select("main", "key").distinct().groupBy("main").agg(F.count(F.lit(1)).cast("double").alias("all"))
+    apart = bands.groupBy("main").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("apart"))
+    one = apart.join(size.hint("merge"), "main").where(F.col("all") * F.col("all") <= F.col("apart")).select("main", F.col("main").alias("whole"))
+    named = bands.select("band", "main").join(one.hint("merge"), "main", "left").select("band", F.coalesce("whole", "band").alias("whole"))
+    return dealt.select("band", "key").join(named.hint("merge"), "band").select(F.col("whole").alias("band"), "key").distinct()
 
 
 def _left(dealt: DataFrame, roots: DataFrame) -> DataFrame:
@@ -413,7 +413,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     near_ones = kept(few(starred(pairs, prints, _close), pairs.count()), "close")
     joined = roots.select("u", F.col("root").alias("v"))
     roots = components(joined.union(starred(near_ones, sets, _stars)), f"{folder}/second")
-    large = dealt.join(_sizes(dealt).where(F.col("n") > PAIRED).hint("merge"), "band").select("band", "key", "v")
+    large = dealt.join(_sizes(dealt).where(F.col("n") > PAIRED).hint("merge"), "band").select("band", "key")
     merged = kept(_merged(large, roots, folder), "merged")
     blocks = _left(merged, roots).join(sets.hint("merge"), "key")
     more = blocks.groupBy("band", "block").applyInArrow(lambda t: _block(t), "u long, v long")
