@@ -694,6 +694,22 @@ def test_toxicity_of_unseen_endings(spark):
     assert sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.03 * len(clean)
 
 
+def test_toxicity_of_copies_and_signs(spark):
+    """Words of toxic texts that are copied often are no insults; insults with signs in place of letters are."""
+    docs, labels = toxic_rows(1500)
+    docs, rng = [(i, t.replace("slur", "grasto")) for i, t in docs], random.Random(6)
+    own = [f"odd{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)]
+    for i in range(2000, 2040):
+        copy = [*own, "grastoo"]
+        copy[rng.randrange(60)] = words(rng, 1)
+        docs.append((i, " ".join(copy)))
+        labels.append((i, 1, 1))
+    asked = {5000 + k: f"{words(rng, 30)} {own[3 * k]}" for k in range(12)} | {6000 + k: f"{words(rng, 30)} {w}" for k, w in enumerate(("gr4st0a grast0b", "gra5toc gr@$t0d"))}
+    d, y = spark.createDataFrame([*docs, *asked.items()], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.score_documents(d, y).collect()}
+    assert [got[i] for i in asked] == [0] * 12 + [1] * 2
+
+
 def test_toxicity_of_ids_that_repeat(spark):
     """An id with unlike texts, in any order, and a labelled text of some 100 KB."""
     docs, labels = toxic_rows(600)
