@@ -60,7 +60,8 @@ def _expressions(name: str, texts: dict[str, str], sql: dict[str, str], places:
         c = Compiler(scope())
         nodes = {k: c.compile(t) for k, t in texts.items()}
         out = c.prepare(frame(spark, sf))
-        return out.select("run_id", "idx", *[(F.round(n.column, places) if places else n.column).alias(k) for k, n in nodes.items()])
+        values = {k: n.column if n.raw is None else n.raw for k, n in nodes.items()}
+        return out.select("run_id", "idx", *[(F.round(v, places) if places else v).alias(k) for k, v in values.items()])
 
 
 _expressions("expr_arith", {"a": "value + 1 km", "b": "value * 2 - 3 m", "c": "value / 5 m", "d": "-value + double", "e": "value / (value - value)", "f": "value ** 2"}, {"a": "value + 1000", "b": "value * 2 - 3", "c": "value / 5", "d": "-value + 2 * value", "e": "value / nullif(value - value, 0)", "f": "pow(value, 2)"}, 9)
