@@ -124,15 +124,24 @@ def _(spark, sf):
 
 
 def _streamed(spark, sf, make, mode: str):
-    """Runs a stream over the samples to its end and gives what it has told."""
-    folder, name = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}", f"stream_{uuid.uuid4().hex}"
+    """Runs a stream over the samples to its end and gives what it has told, from files: the driver holds no rows.
+
+    All files of the samples are one batch, so that a signal comes in its order. In complete mode the last batch has told everything.
+    """
+    folder = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     s = S.event_samples(spark, sf, gaps=True).withColumn("ts", F.timestamp_seconds("t"))
-    s.coalesce(1).write.parquet(f"{folder}/in")
+    s.write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(s.schema).parquet(f"{folder}/in")
-    q = make(stream).writeStream.format("parquet" if mode == "append" else "memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{folder}/state")
-    q = (q.option("path", f"{folder}/out") if mode == "append" else q).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(f"{folder}/out") if mode == "append" else spark.table(name)
+    told = {}
+
+    def keep(batch, number: int) -> None:
+        told["last"] = f"{folder}/out/{number}"
+        batch.write.mode("overwrite").parquet(told["last"])
+
+    q = make(stream).writeStream.queryName(f"stream_{uuid.uuid4().hex}").outputMode(mode).option("checkpointLocation", f"{folder}/state")
+    q = q.format("parquet").option("path", f"{folder}/out") if mode == "append" else q.foreachBatch(keep)
+    q.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out" if mode == "append" else told["last"])
 
 
 @query("stream_crossings", f"WITH {crossing_sql(EG, 50.0, h=20.0)} SELECT run_id, tc AS crossing, CASE WHEN state THEN 'rising' ELSE 'falling' END AS edge, before AS index_before, after AS index_after, confirm FROM flips WHERE reported")
