@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KEYS = ("run_id", "signal")
+PART, UNKNOWN = 8 << 20, 1 << 60  # bytes of files for one task; more than this is what Spark takes for a size it doesn't know
 
 
 def finite(x: Column) -> Column:
@@ -18,6 +19,17 @@ def seconds(ts: Column) -> Column:
     return (ts - F.expr("timestamp_ntz'1970-01-01 00:00:00'")).cast("interval second").cast("decimal(20,6)").cast("double")
 
 
+def by_run(df: DataFrame) -> DataFrame:
+    """Rows dealt by run_id into tasks of at most PART bytes of the files read; small inputs as the session deals them.
+
+    Windows and groups by run share this exchange, so the memory of one of their tasks doesn't grow with the number of runs.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if not PART < size < UNKNOWN:
+        return df
+    return df.repartition(max(-(-size // PART), df.sparkSession.sparkContext.defaultParallelism), "run_id")
+
+
 def from_dataframe(df: DataFrame, run: str | Column, t: Column, values: dict[str, Column], order: list, labels: dict[str, Column] | None = None) -> DataFrame:
     """Samples of several signals that share a clock. `order` breaks ties of time; values that aren't finite become null.
 
@@ -25,7 +37,7 @@ def from_dataframe(df: DataFrame, run: str | Column, t: Column, values: dict[str
     """
     run = F.col(run) if isinstance(run, str) else run
     w = Window.partitionBy("run_id").orderBy("t", *order)
-    base = df.withColumn("run_id", run).withColumn("t", t).where(finite(F.col("t"))).withColumn("idx", F.row_number().over(w).cast("long") - 1)
+    base = by_run(df.withColumn("run_id", run).withColumn("t", t).where(finite(F.col("t")))).withColumn("idx", F.row_number().over(w).cast("long") - 1)
     entries = [F.struct(F.lit(name).alias("signal"), x.cast("double").alias("raw"), F.lit(None).cast("string").alias("label")) for name, x in values.items()]
     entries += [F.struct(F.lit(name).alias("signal"), F.lit(None).cast("double").alias("raw"), x.cast("string").alias("label")) for name, x in (labels or {}).items()]
     long = base.select("run_id", "idx", "t", F.explode(F.array(*entries)).alias("s")).select("run_id", "s.signal", "idx", "t", "s.raw", "s.label")
@@ -53,7 +65,7 @@ def event_wide(spark: SparkSession, sf_dir: str, gaps: bool = False) -> DataFram
     """The same runs as one row for each sample: run_id, idx, t, value, event_type."""
     w = Window.partitionBy("run_id").orderBy("t", "event_id")
     value = F.when(F.col("event_type") != "error", F.col("value")) if gaps else F.col("value")
-    base = table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), seconds(F.col("ts")).alias("t"), "event_id", value.alias("value"), "event_type")
+    base = by_run(table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), seconds(F.col("ts")).alias("t"), "event_id", value.alias("value"), "event_type"))
     return base.select("run_id", (F.row_number().over(w) - 1).cast("long").alias("idx"), "t", "value", "event_type")
 
 
