@@ -54,10 +54,11 @@ def window_extrema(df: DataFrame, interval: float, origin: float = 0.0) -> DataF
     b = df.withColumn("u", u).withColumn("delta", delta).where((F.col("delta") < 0.5) & (F.abs("u") < F.lit(2.0**52)))
     b = b.withColumn("m", F.floor(F.col("u") + F.col("delta")))
     edge = F.abs(F.col("u") - F.rint("u")) <= F.col("delta")
-    member = b.where("x is not null").withColumn("bucket", F.explode(F.when(edge, F.array("m", F.col("m") - 1)).otherwise(F.array("m"))))
-    exists = b.select(*keys, F.col("m").alias("bucket")).distinct()
-    top, low = F.max(F.struct("x", (-F.col("idx")).alias("i"), "t")), F.min(F.struct("x", F.col("idx").alias("i"), "t"))
-    g = member.groupBy(*keys, "bucket").agg(top.alias("hi"), low.alias("lo")).join(exists, [*keys, "bucket"], "left_semi")
+    own = F.struct(F.col("m").alias("bucket"), F.lit(True).alias("own"))
+    member = b.withColumn("p", F.explode(F.when(edge, F.array(own, F.struct((F.col("m") - 1).alias("bucket"), F.lit(False).alias("own")))).otherwise(F.array(own)))).select(*keys, "idx", "x", "p.*")
+    good, x, i = F.col("x").isNotNull(), F.col("x"), F.col("idx")
+    top, low = F.max(F.when(good, F.struct(x.alias("x"), (-i).alias("i")))), F.min(F.when(good, F.struct(x.alias("x"), i.alias("i"))))
+    g = member.groupBy(*keys, "bucket").agg(top.alias("hi"), low.alias("lo"), F.max("own").alias("exists")).where("exists and hi is not null")
     return g.select(*keys, "bucket", (-F.col("hi.i")).alias("max_idx"), F.col("hi.x").alias("max_value"), F.col("lo.i").alias("min_idx"), F.col("lo.x").alias("min_value"))
 
 
