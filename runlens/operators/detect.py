@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,6 +129,11 @@ def violation(df: DataFrame, above: float | None = None, below: float | None = N
 
     Columns: keys, start, end, worst_idx, worst_t, worst_value, first_idx, last_idx, open_start, open_end, gap_start, gap_end.
     """
+    return violation_places(df, above, below).where(F.col("end") - F.col("start") >= F.lit(float(min_duration))).drop("before_idx", "after_idx")
+
+
+def violation_places(df: DataFrame, above: float | None = None, below: float | None = None) -> DataFrame:
+    """All runs beyond a limit, with the indices of the samples before and after them."""
     keys = keys_of(df)
     limit = F.lit(float(above if above is not None else below))
     hit = F.col("x") > limit if above is not None else F.col("x") < limit
@@ -139,12 +145,11 @@ def violation(df: DataFrame, above: float | None = None, below: float | None = N
     start = F.when(F.col("s.prev_x").isNull(), F.col("s.t")).otherwise(level_time(F.col("s.prev_t"), F.col("s.t"), F.col("s.prev_x"), F.col("s.x"), limit))
     end = F.when(F.col("e.next_x").isNull(), F.col("e.t")).otherwise(level_time(F.col("e.t"), F.col("e.next_t"), F.col("e.x"), F.col("e.next_x"), limit))
     sign = -1 if above is not None else 1
-    out = g.select(
-        *keys, start.alias("start"), end.alias("end"), (F.lit(sign) * F.col("w.i")).alias("worst_idx"), F.col("w.t").alias("worst_t"), F.col("w.x").alias("worst_value"),
+    return g.select(
+        *keys, start.alias("start"), end.alias("end"), F.col("s.prev_idx").alias("before_idx"), F.col("e.next_idx").alias("after_idx"), (F.lit(sign) * F.col("w.i")).alias("worst_idx"), F.col("w.t").alias("worst_t"), F.col("w.x").alias("worst_value"),
         F.col(s + "idx").alias("first_idx"), F.col(e + "idx").alias("last_idx"), F.col("s.prev_idx").isNull().alias("open_start"), F.col("e.next_idx").isNull().alias("open_end"),
         (F.col("s.prev_idx").isNotNull() & F.col("s.prev_x").isNull()).alias("gap_start"), (F.col("e.next_idx").isNotNull() & F.col("e.next_x").isNull()).alias("gap_end"),
     )
-    return out.where(F.col("end") - F.col("start") >= F.lit(float(min_duration)))
 
 
 def state_transitions(df: DataFrame, column: str = "label") -> DataFrame:
@@ -186,19 +191,11 @@ def run_starts(df: DataFrame, hit: Column) -> DataFrame:
     return d.where(F.col("hit") & ~F.coalesce("was", F.lit(False))).select(*keys_of(df), "idx", "t", F.col("was").isNull().alias("at_start"))
 
 
-def merged_runs(df: DataFrame) -> DataFrame:
-    """Runs of equal values: k (its number), x (null for a run without finite values), first and last index and time."""
-    keys, w = keys_of(df), ordered(df)
-    d = df.withColumn("new", (F.row_number().over(w) == 1) | ~F.col("x").eqNullSafe(F.lag("x").over(w)))
-    d = d.withColumn("k", F.sum(F.col("new").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return d.groupBy(*keys, "k").agg(F.min("idx").alias("i0"), F.max("idx").alias("i1"), F.first("x").alias("x"))
-
-
 _PEAKS = "idx long, value double, prominence double, kind string, left_base long, right_base long"
 
 
 def _peaks(x: list, first: list, last: list, kind: str) -> list[tuple]:
-    """Peaks of merged runs with their bases, by two passes with a stack of ever lower runs. None is a wall."""
+    """Peaks of merged runs with their bases and places, by two passes with a stack of ever lower runs. None is a wall."""
     n = len(x)
 
     def bases(order: range) -> list[int]:
@@ -222,47 +219,85 @@ def _peaks(x: list, first: list, last: list, kind: str) -> list[tuple]:
             continue
         height = x[k] - max(x[left[k]], x[right[k]])
         sign = 1 if kind == "max" else -1
-        out.append(((first[k] + last[k]) // 2, sign * x[k], height, kind, last[left[k]], first[right[k]]))
+        out.append(((first[k] + last[k]) // 2, sign * x[k], height, kind, last[left[k]], first[right[k]], k))
     return out
 
 
+def _spread(peaks: list[tuple], times: list, separation: float) -> list[tuple]:
+    """The highest first, the lowest index among equals; a peak stays if none that stays is too near."""
+    sign = 1 if peaks[0][3] == "max" else -1
+    kept, stays = [], []  # kept: times in order, so that only the two beside a peak can be too near
+    for i in sorted(range(len(peaks)), key=lambda i: (-sign * peaks[i][1], peaks[i][0])):
+        at = bisect_left(kept, times[i])
+        if all(abs(times[i] - o) >= separation for o in kept[max(0, at - 1) : at + 1]):
+            kept.insert(at, times[i])
+            stays.append(i)
+    return [peaks[i] for i in sorted(stays)]
+
+
+def _extrema_of(d: pa.Table, prominence: float, separation: float, kinds: tuple[str, ...]) -> tuple[list[tuple], list[int]]:
+    """Peaks of the whole signals of a table in order, and a row of the signal of each. A wall parts one signal from the next."""
+    idx, t, x = (d.column(c).to_numpy() for c in ("idx", "t", "x"))
+    begins = d.column("before").is_null().to_numpy()
+    same = np.zeros(len(idx), bool)
+    same[1:] = (x[1:] == x[:-1]) | (np.isnan(x[1:]) & np.isnan(x[:-1]))
+    start = np.flatnonzero(begins | ~same)  # where runs of equal values begin
+    stop = np.append(start[1:], len(idx))
+    signal = np.cumsum(begins)[start]
+    place = np.arange(len(start)) + signal
+    first, last, row, value = (np.zeros(place[-1] + 1, k) for k in (idx.dtype, idx.dtype, int, float))
+    first[place], last[place], row[place] = idx[start], idx[stop - 1], start
+    value[:] = np.nan
+    value[place] = x[start]
+    of = dict(zip(place.tolist(), zip(start.tolist(), stop.tolist(), signal.tolist())))
+    walls, first, last, row, found = np.flatnonzero(np.isnan(value)).tolist(), first.tolist(), last.tolist(), row.tolist(), []
+    for kind in kinds:
+        y = (value if kind == "max" else -value).tolist()
+        for k in walls:
+            y[k] = None
+        peaks = [p for p in _peaks(y, first, last, kind) if p[2] >= prominence]
+        if separation:
+            by = {}
+            for p in peaks:
+                a, z, signal_ = of[p[-1]]
+                i = a + int(np.searchsorted(idx[a:z], p[0]))
+                if i < z and idx[i] == p[0]:  # the middle of a run of equal values may not be among the samples
+                    by.setdefault(signal_, []).append((p, float(t[i])))
+            peaks = [p for pairs in by.values() for p in _spread([q for q, _ in pairs], [at for _, at in pairs], separation)]
+        found += peaks
+    return [p[:-1] for p in found], [row[p[-1]] for p in found]
+
+
 def local_extrema(df: DataFrame, prominence: float, separation: float = 0.0, kind: str = "both") -> DataFrame:
-    """Peaks by prominence, then greedily by separation, in a grouped map with monotonic stacks: linear in the samples.
+    """Peaks by prominence, then greedily by separation, with monotonic stacks: linear in the samples.
 
-    Columns: keys, idx, value, prominence, kind, left_base, right_base.
+    One pass of Arrow batches over the signals in order, as the window leaves them; many signals share a batch, and one signal
+    may take several. Columns: keys, idx, value, prominence, kind, left_base, right_base.
     """
     keys = keys_of(df)
-    runs = merged_runs(df)
-    times = df.select(*keys, "idx", "t")
     kinds = ("max", "min") if kind == "both" else (kind,)
-
-    def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        found = []
-        for one in kinds:
-            sign = 1 if one == "max" else -1
-            x = [None if pd.isna(v) else sign * v for v in pdf.x]
-            found += [p for p in _peaks(x, pdf.i0.tolist(), pdf.i1.tolist(), one) if p[2] >= prominence]
-        out = pd.DataFrame(found, columns=["idx", "value", "prominence", "kind", "left_base", "right_base"])
-        for i, c in enumerate(keys):
-            out.insert(i, c, pdf[c].iloc[0])
-        return out
-
     types = dict(df.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in keys) + ", " + _PEAKS
-    peaks = runs.groupBy(*keys).applyInPandas(find, schema)
-    if not separation:
-        return peaks
-
-    def spread(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The highest first, the lowest index among equals; a peak stays if none that stays is too near."""
-        height = pdf.value if pdf.kind.iloc[0] == "max" else -pdf.value
-        t, kept, rows = pdf.t.to_numpy(), [], []  # kept: times in order, so that only the two beside a peak can be too near
-        for i in np.lexsort((pdf.idx, -height)):
-            at = bisect_left(kept, t[i])
-            if all(abs(t[i] - o) >= separation for o in kept[max(0, at - 1) : at + 1]):
-                kept.insert(at, t[i])
-                rows.append(i)
-        return pdf.iloc[sorted(rows)]
-
-    return peaks.join(times, [*keys, "idx"]).groupBy(*keys, "kind").applyInPandas(lambda p: spread(p)[[*keys, "idx", "value", "prominence", "kind", "left_base", "right_base"]], schema)
+
+    def told(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not any(b.num_rows for b in held):
+            return
+        d = pa.Table.from_batches(held).combine_chunks()
+        found, rows = _extrema_of(d, prominence, separation, kinds)
+        if found:
+            own = d.select(keys).take(pa.array(rows, pa.int64())).combine_chunks()
+            columns = [pa.array(c, k) for c, k in zip(zip(*found), (pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(own.column(k).chunk(0) for k in keys), *columns], [*keys, *(c.split()[0] for c in _PEAKS.split(", "))])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []  # batches since the last signal began
+        for b in batches:
+            begins = np.flatnonzero(b.column("before").is_null().to_numpy(zero_copy_only=False))
+            if len(begins):
+                yield from told([*held, b.slice(0, int(begins[-1]))])
+                held, b = [], b.slice(int(begins[-1]))
+            held.append(b)
+        yield from told(held)
+
+    # before: null where a signal begins; the window also puts signals whole and in order into the tasks
+    d = df.select(*keys, F.col("idx").cast("long").alias("idx"), F.col("t").cast("double").alias("t"), F.col("x").cast("double").alias("x"), F.lag("idx").over(ordered(df)).alias("before"))
+    return d.mapInArrow(find, ", ".join(f"`{c}` {types[c]}" for c in keys) + ", " + _PEAKS)

@@ -54,11 +54,13 @@ def hard_samples(samples: DataFrame, h: Hard) -> tuple[list[DataFrame], DataFram
         points = ["index_before", "index_after"] + (["confirm"] if p["hysteresis"] else [])
         return [_mark(c, i, h.id) for i in points], _count(c.where("reported"), h.id, h.signal)
     if h.op == "violation":
-        limit = {k: p[k] for k in ("above", "below") if p[k] is not None}
-        every, kept = D.violation(s, **limit), D.violation(s, **limit, min_duration=p["min_duration"])
-        edges = every.select("run_id", "signal", F.explode(F.array(F.col("first_idx") - 1, "first_idx", "last_idx", F.col("last_idx") + 1)).alias("i"))
-        inside = edges.join(s.select("run_id", "signal", F.col("idx").alias("i")), ["run_id", "signal", "i"], "left_semi")
-        return [_mark(inside, "i", f"{h.id}#edge"), _mark(kept, "worst_idx", f"{h.id}#worst")], _count(kept, h.id, h.signal)
+        v = D.violation_places(s, **{k: p[k] for k in ("above", "below") if p[k] is not None}).withColumn("long", F.col("end") - F.col("start") >= F.lit(float(p["min_duration"])))
+        first, last = F.col("first_idx"), F.col("last_idx")
+        edges = [(first - 1, F.col("before_idx") == first - 1), (first, F.lit(True)), (last, F.lit(True)), (last + 1, F.col("after_idx") == last + 1)]
+        marks = [F.when(there, F.struct(i.alias("idx"), F.lit(f"{h.id}#edge").alias("role"))) for i, there in edges]
+        marks.append(F.when(F.col("long"), F.struct(F.col("worst_idx").alias("idx"), F.lit(f"{h.id}#worst").alias("role"))))
+        kept = v.select("run_id", "signal", F.inline(F.array_compact(F.array(*marks))))
+        return [kept.select("run_id", "signal", F.col("idx").cast("long").alias("idx"), "role")], _count(v.where("long"), h.id, h.signal)
     t = D.state_transitions(s, "label" if "label" in s.columns else "raw")
     return [_mark(t, "idx", h.id)], _count(t.where("changed"), h.id, h.signal)
 
