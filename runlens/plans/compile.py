@@ -167,17 +167,44 @@ def minimum(samples: DataFrame, policy: Policy) -> DataFrame:
     return reduce(DataFrame.unionByName, each).withColumn("bytes", F.col("samples") * SAMPLE_BYTES)
 
 
+def _at_once(samples: DataFrame, h: Hard, key: str) -> DataFrame | None:
+    """Samples that a requirement keeps, with how far the parameter may be raised until they aren't kept; None where it must be detected again."""
+    s, p = samples.where(F.col("signal") == h.signal), h.params
+    if h.op == "violation" and key == "min_duration":
+        v = D.violation_places(s, **{k: p[k] for k in ("above", "below") if p[k] is not None})
+        first, last, always = F.col("first_idx"), F.col("last_idx"), F.lit(float("inf"))
+        marks = [F.when(there, F.struct(i.alias("idx"), always.alias("upto"))) for i, there in ((first - 1, F.col("before_idx") == first - 1), (first, F.lit(True)), (last, F.lit(True)), (last + 1, F.col("after_idx") == last + 1))]
+        return v.select("run_id", "signal", F.inline(F.array_compact(F.array(*marks, F.struct(F.col("worst_idx").alias("idx"), (F.col("end") - F.col("start")).alias("upto"))))))
+    if h.op == "local_extrema" and key == "prominence" and not p["separation"]:
+        g = D.local_extrema(s, p["prominence"], kind=p["kind"])
+        return g.select("run_id", "signal", F.inline(F.array(*[F.struct(F.col(c).alias("idx"), F.col("prominence").alias("upto")) for c in ("idx", "left_base", "right_base")])))
+    return None
+
+
 def relaxations(samples: DataFrame, policy: Policy, factors: tuple[float, ...] = (2.0, 4.0)) -> DataFrame:
-    """What looser parameters would save, measured: each length or height made 2 or 4 times as large, or the requirement dropped."""
+    """What looser parameters would save, measured: each length or height made 2 or 4 times as large, or the requirement dropped.
+
+    Where a sample's own measure says up to which value it is kept, all factors come from one detection.
+    """
     out = []
     for h in policy.hard:
         for key in ("interval", "prominence", "hysteresis", "debounce", "min_duration", "separation"):
-            if h.params.get(key):
-                for f in factors:
-                    loose = replace(h, params={**h.params, key: h.params[key] * f})
-                    n = reduce(DataFrame.unionByName, hard_samples(samples, loose)[0]).select("run_id", "signal", "idx").distinct().groupBy("run_id").agg(F.count(F.lit(1)).alias("samples"))
-                    out.append(n.select("run_id", F.lit(h.id).alias("requirement"), F.lit(f"{key} x {f:g}").alias("change"), "samples"))
-        out.append(samples.select("run_id").distinct().select("run_id", F.lit(h.id).alias("requirement"), F.lit("drop").alias("change"), F.lit(0).cast("long").alias("samples")))
+            if not h.params.get(key):
+                continue
+            once = _at_once(samples, h, key)
+            if once is not None:
+                best = once.groupBy("run_id", "signal", "idx").agg(F.max("upto").alias("upto"))
+                counts = best.groupBy("run_id").agg(*[F.count_if(F.col("upto") >= F.lit(float(h.params[key] * f))).alias(f"n{i}") for i, f in enumerate(factors)])
+                rows = F.array(*[F.struct(F.lit(f"{key} x {f:g}").alias("change"), F.col(f"n{i}").alias("samples")) for i, f in enumerate(factors)])
+                out.append(counts.select("run_id", F.lit(h.id).alias("requirement"), F.inline(rows)).where("samples > 0"))
+                continue
+            for f in factors:
+                loose = replace(h, params={**h.params, key: h.params[key] * f})
+                n = reduce(DataFrame.unionByName, hard_samples(samples, loose)[0]).select("run_id", "signal", "idx").distinct().groupBy("run_id").agg(F.count(F.lit(1)).alias("samples"))
+                out.append(n.select("run_id", F.lit(h.id).alias("requirement"), F.lit(f"{key} x {f:g}").alias("change"), "samples"))
+    if policy.hard:
+        dropped = F.array(*[F.struct(F.lit(h.id).alias("requirement"), F.lit("drop").alias("change"), F.lit(0).cast("long").alias("samples")) for h in policy.hard])
+        out.append(samples.select("run_id").distinct().select("run_id", F.inline(dropped)))
     return reduce(DataFrame.unionByName, out)
 
 
